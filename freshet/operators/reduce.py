@@ -276,24 +276,19 @@ def anomalies(series: DataFrame, cells: DataFrame, parameter: str = "wse") -> Da
 
 
 def covariance(df: DataFrame, feature: str = "cell_id", value: str = "x", sample: Sequence[str] = ("run", "t")) -> DataFrame:
-    """Covariance ``(i, j, cov)`` of narrow data as a self-join on the sample, for inspection.
-
-    Use ``principal_modes`` for anything wide.
-    """
-    n = df.select(*sample).distinct().count()
-    rows = df.groupBy(*sample).agg(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).alias("v"))).alias("_r"))
-    pairs = rows.select(F.explode("_r").alias("a"), "_r").select("a", F.explode("_r").alias("b")).where(
-        F.col("a.f") <= F.col("b.f")
-    )
-    sums = pairs.groupBy(F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(
-        F.sum(F.col("a.v") * F.col("b.v")).alias("_s")
-    )
-    means = df.groupBy(feature).agg((F.sum(value) / n).alias("_m"))
-    return (
-        sums.join(means.select(F.col(feature).alias("i"), F.col("_m").alias("_mi")), "i")
-        .join(means.select(F.col(feature).alias("j"), F.col("_m").alias("_mj")), "j")
-        .select("i", "j", ((F.col("_s") - n * F.col("_mi") * F.col("_mj")) / (n - 1)).alias("cov"))
-    )
+    """Covariance ``(i, j, cov)``, i <= j, of up to ``MAX_SIDE`` features; absent entries count as 0."""
+    data = df.select(*sample, F.col(feature).alias("_f"), F.col(value).alias("_x"))
+    n = data.select(*sample).distinct().count()
+    index = _numbered(data, ["_f"])
+    c = index.count()
+    if c > MAX_SIDE:
+        raise ValueError(f"{c} features need principal_modes, which does not form the covariance")
+    rows = data.join(index, "_f").groupBy(*sample).agg(F.collect_list("_i").alias("idx"), F.collect_list("_x").alias("val"))
+    second, first = gram.second_moments(rows, c)
+    cov = (second - np.outer(first, first) / n) / max(n - 1, 1)
+    wide = _vectors_for(index, cov, "_v").select(F.col("_f").alias("i"), F.posexplode("_v").alias("_j", "cov"))
+    names = index.select(F.col("_i").alias("_j"), F.col("_f").alias("j"))
+    return wide.join(names, "_j").where(F.col("i") <= F.col("j")).select("i", "j", "cov")
 
 
 def fit_eof(
