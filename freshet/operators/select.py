@@ -11,7 +11,7 @@ from freshet.functions.exprs import rp_close
 from freshet.operators.filters import joint_range
 from freshet.operators.joins import exclude, restrict
 from freshet.operators.reduce import principal_modes
-from freshet.operators.sets import fill_sample, rank_candidates, sample_log_bins, union_ids
+from freshet.operators.sets import fill_sample, near_targets, rank_candidates, sample_log_bins, union_ids
 from freshet.operators.stats import extreme_events
 from freshet.operators.windows import event_hour
 from freshet.session import cut_lineage
@@ -48,16 +48,16 @@ def select_design(
     def refused(event_id, p, q) -> bool:
         return any(event_id == e or (close(p, cp) and close(q, cq)) for e, cp, cq in chosen)
 
-    ranked = cut_lineage(rank_candidates(maxima, targets, window).select("slot", "rank", "log_dist", *cols))
+    ranked = rank_candidates(maxima, targets, window, shortlist).select("slot", "rank", *cols)
     slots: dict[int, list] = {}
-    for row in ranked.where(F.col("rank") <= shortlist).orderBy("slot", "rank").collect():
+    for row in ranked.orderBy("slot", "rank").collect():
         slots.setdefault(row["slot"], []).append(row)
     for slot in sorted(slots):
         rows = slots[slot]
         pick = next((r for r in rows if not refused(*(r[c] for c in cols))), None)
         if pick is None and len(rows) == shortlist:
-            free = ranked.where((F.col("slot") == slot) & ~_refused_filter(chosen, tol))
-            pick = free.orderBy("rank").select(*cols).first()
+            free = near_targets(maxima, targets, window).where((F.col("slot") == slot) & ~_refused_filter(chosen, tol))
+            pick = free.orderBy(F.col("log_dist").asc_nulls_last(), "event_id").select(*cols).first()
         if pick is not None:
             chosen.append(tuple(pick[c] for c in cols))
             picks.append((pick["event_id"], "AEP"))

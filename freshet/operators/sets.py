@@ -24,10 +24,8 @@ def take_modes(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.col("mode") < k)
 
 
-def rank_candidates(
-    maxima: DataFrame, targets: Sequence[float], width: float = 0.2, top: int | None = None
-) -> DataFrame:
-    """Events near each target return period, ordered by joint log distance per (target, field).
+def near_targets(maxima: DataFrame, targets: Sequence[float], width: float = 0.2) -> DataFrame:
+    """Events near each target return period in either field, with their joint log distance.
 
     The target list is a parameter, so it is expanded inside each row: no join.
     """
@@ -40,11 +38,18 @@ def rank_candidates(
     spread = maxima.select("*", F.inline(slots))
     period = reduce(lambda acc, f: F.when(F.col("field") == f, F.col(f)).otherwise(acc), RP_FIELDS, F.lit(None))
     near = spread.where(period.between(F.col("rp") * (1 - width), F.col("rp") * (1 + width)))
-    measured = near.withColumn("log_dist", log_dist("rp_precip", "rp_inflow", "rp"))
-    # Undefined distances sort last, as NaN does in the original order.
+    return near.withColumn("log_dist", log_dist("rp_precip", "rp_inflow", "rp"))
+
+
+def rank_candidates(maxima: DataFrame, targets: Sequence[float], width: float = 0.2, top: int = 25) -> DataFrame:
+    """The ``top`` nearest events per target and field, numbered from 1.
+
+    Spark applies the rank limit before the shuffle, so a crowded target sends
+    at most ``top`` rows per task. Undefined distances come last.
+    """
     ordering = Window.partitionBy("slot").orderBy(F.col("log_dist").asc_nulls_last(), "event_id")
-    ranked = measured.withColumn("rank", F.row_number().over(ordering))
-    return ranked if top is None else ranked.where(F.col("rank") <= top)
+    ranked = near_targets(maxima, targets, width).withColumn("rank", F.row_number().over(ordering))
+    return ranked.where(F.col("rank") <= top)
 
 
 def ordered(df: DataFrame, by: Sequence[str] = ("event_id", "datetime")) -> DataFrame:

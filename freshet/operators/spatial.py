@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.functions import scan
 from freshet.functions.exprs import floor_to_ground
@@ -58,13 +59,19 @@ def _binned(df: DataFrame, other_levels: Sequence[int], own_kind: str, far_kind:
         lambda s: F.when(s["kind"] == "both", own.isin(*other_levels)).otherwise(own > min(other_levels)),
     )
     at_coarser = F.transform(coarser, lambda v: F.struct(v.alias("level"), F.lit(far_kind).alias("kind")))
-    keyed = df.withColumn("_at", F.explode(F.concat(at_own, at_coarser)))
-    size = F.pow(F.lit(2.0), F.col("_at.level"))
 
-    def span(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+    def bins(s: Column) -> Column:
+        size = F.pow(F.lit(2.0), s["level"])
 
-    return keyed.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
+        def span(lo: str, hi: str) -> Column:
+            return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+
+        def place(bx: Column, by: Column) -> Column:
+            return F.struct(s["level"].alias("_level"), s["kind"].alias("_kind"), bx.alias("_bx"), by.alias("_by"))
+
+        return F.flatten(F.transform(span("_x0", "_x1"), lambda bx: F.transform(span("_y0", "_y1"), lambda by: place(bx, by))))
+
+    return df.select("*", F.inline(F.flatten(F.transform(F.concat(at_own, at_coarser), bins))))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, left_name: str = "l", right_name: str = "r") -> DataFrame:
@@ -75,8 +82,12 @@ def box_pairs(left: DataFrame, right: DataFrame, left_name: str = "l", right_nam
     meets at the level of the larger box, in the bin that holds the lower left
     corner of the common part.
     """
-    a = left.select(F.struct("*").alias(left_name), *BOX).withColumn("_own", _own_level())
-    b = right.select(F.struct("*").alias(right_name), *BOX).withColumn("_own", _own_level())
+
+    def prepared(df: DataFrame, name: str) -> DataFrame:
+        named = [F.col(c).alias(f"{name}__{c}") for c in df.columns]
+        return df.select(*named, *[F.col(c).alias(f"_{c}") for c in BOX], _own_level().alias("_own"))
+
+    a, b = prepared(left, left_name), prepared(right, right_name)
     # Sizes differ by at most a few dozen powers of two.
     a_levels = [r[0] for r in a.select("_own").distinct().collect()]
     b_levels = [r[0] for r in b.select("_own").distinct().collect()]
@@ -84,18 +95,25 @@ def box_pairs(left: DataFrame, right: DataFrame, left_name: str = "l", right_nam
 
     def filed(df: DataFrame, levels: list[int], own_kind: str, far_kind: str, name: str) -> DataFrame:
         rows = _binned(df, levels or [0], own_kind, far_kind)
-        return rows.select(
-            F.col("_at.level").alias("_level"), F.col("_at.kind").alias("_kind"), "_bx", "_by", name
-        )
+        return rows.select(*key, *[c for c in rows.columns if c.startswith(f"{name}__")])
 
     joined = filed(a, b_levels, "left", "right", left_name).join(filed(b, a_levels, "right", "left", right_name), key)
-    p, q = F.col(left_name), F.col(right_name)
+
+    def p(c: str) -> Column:
+        return F.col(f"{left_name}__{c}")
+
+    def q(c: str) -> Column:
+        return F.col(f"{right_name}__{c}")
+
     size = F.pow(F.lit(2.0), F.col("_level"))
-    overlap = (p["x0"] <= q["x1"]) & (q["x0"] <= p["x1"]) & (p["y0"] <= q["y1"]) & (q["y0"] <= p["y1"])
-    here = (F.floor(F.greatest(p["x0"], q["x0"]) / size) == F.col("_bx")) & (
-        F.floor(F.greatest(p["y0"], q["y0"]) / size) == F.col("_by")
+    overlap = (p("x0") <= q("x1")) & (q("x0") <= p("x1")) & (p("y0") <= q("y1")) & (q("y0") <= p("y1"))
+    here = (F.floor(F.greatest(p("x0"), q("x0")) / size) == F.col("_bx")) & (
+        F.floor(F.greatest(p("y0"), q("y0")) / size) == F.col("_by")
+    )
+    return joined.where(overlap & here).select(
+        F.struct(*[p(c).alias(c) for c in left.columns]).alias(left_name),
+        F.struct(*[q(c).alias(c) for c in right.columns]).alias(right_name),
     )
-    return joined.where(overlap & here).select(left_name, right_name)
 
 
 # --- largest overlap ------------------------------------------------------------------------------
@@ -131,7 +149,7 @@ def _points(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def common_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([clip_area(_points(p), _points(q)) for p, q in zip(a, b)], dtype="float64")
 
@@ -219,7 +237,7 @@ def within_aoi(mesh: DataFrame, ring: Sequence[tuple[float, float]]) -> DataFram
     if is_box and "ring" not in mesh.columns:
         return near
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def touches(rings: pd.Series) -> pd.Series:
         return pd.Series([rings_touch(_points(r), area) for r in rings], dtype="bool")
 
@@ -297,7 +315,7 @@ def rasterize(shapes: DataFrame, spec: dict) -> DataFrame:
     pixels = shapes.withColumn("col", F.explode(cols)).withColumn("row", F.explode(rows))
     if "ring" in shapes.columns:
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def covered(rings: pd.Series, row: pd.Series, col: pd.Series) -> pd.Series:
             out = []
             for r, i, j in zip(rings, row, col):

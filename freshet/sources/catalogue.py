@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +65,14 @@ def asset_plans(df: DataFrame, prefix: str = "gpr") -> DataFrame:
 def event_assets(selected: DataFrame, prefix: str) -> DataFrame:
     """Catalogue assets, one row per selected event, numbered in event order.
 
-    Rounding is half-even to two decimals, as the catalogue format wants.
+    Numbers are rounded to two decimals by their exact binary value, as the
+    catalogue's writer does; SQL rounding goes by the shortest decimal text and
+    differs on ties.
     """
 
-    def two(c: str):
-        return F.bround(F.col(c), 2)
+    @F.pandas_udf(T.DoubleType())
+    def two(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: round(v, 2) if pd.notna(v) else v).astype("float64")
 
     placed = scan.row_position(selected, [], ["event_id"], scan.chunk_of("event_id"), "pos")
     return placed.select(
