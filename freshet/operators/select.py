@@ -23,7 +23,7 @@ CHECKPOINT_EVERY = 5
 def _picked_frame(maxima: DataFrame, picks: Sequence[tuple[int, str]], role: str) -> DataFrame:
     rows = [(int(e), i, label, role) for i, (e, label) in enumerate(picks)]
     chosen = maxima.sparkSession.createDataFrame(rows, PICKED)
-    return maxima.join(F.broadcast(chosen), "event_id")  # one row per selected storm
+    return maxima.drop("pick", "set", "type").join(F.broadcast(chosen), "event_id")  # one row per selected storm
 
 
 def select_design(

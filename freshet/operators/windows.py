@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import scan
 from freshet.operators.joins import with_scalars
+from freshet.session import cut_lineage
 
 WARM_UP_SHARE = 10e-4
 
@@ -49,7 +50,8 @@ def trim_at_nan(df: DataFrame) -> DataFrame:
 
 def change_profile(series: DataFrame) -> DataFrame:
     """Share of all change that happens at each step of a run, and its running sum."""
-    per_step = step_change(series).groupBy("run", "t").agg(F.sum("change").alias("_change"))
+    # Small (one row per run and step) and read several times below.
+    per_step = cut_lineage(step_change(series).groupBy("run", "t").agg(F.sum("change").alias("_change")))
     totals = per_step.groupBy("run").agg(F.sum("_change").alias("_total"))
     share = F.try_divide(F.col("_change"), F.col("_total"))
     shares = per_step.join(totals, "run").select("run", "t", share.alias("share"))
@@ -192,9 +194,10 @@ def api(
     )
     horizon = max(1, math.ceil(60 / (-math.log(k) * width)) + 1)
     newest = left_behind.groupBy(*keys).agg(F.max("_chunk").alias("_newest"))
-    later = left_behind.join(newest, list(keys)).withColumn(
-        "_gap", F.explode(F.sequence(F.lit(1), F.lit(horizon)))
-    ).where(F.col("_chunk") + F.col("_gap") <= F.col("_newest"))
+    bounded = left_behind.join(newest, list(keys)) if keys else with_scalars(left_behind, newest)
+    later = bounded.withColumn("_gap", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).where(
+        F.col("_chunk") + F.col("_gap") <= F.col("_newest")
+    )
     carried = later.groupBy(*keys, (F.col("_chunk") + F.col("_gap")).alias("_chunk")).agg(
         F.sum(F.col("_left") * F.pow(F.lit(float(k)), (F.col("_gap") - 1) * width)).alias("_carried")
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_metrics", "q_exprs", "q_sources", "q_joins", "q_windows")
+MODULES = ("q_metrics", "q_exprs", "q_sources", "q_joins", "q_windows", "q_reduce", "q_models")
 
 
 def load() -> None:

@@ -85,8 +85,8 @@ VIEWS: dict[str, str] = {
           min(l_shipdate) AS first_time, sum(l_quantity) AS q
         FROM {lineitem} GROUP BY 1,2,3,4,5""",
     "boundaries": """
-        SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN concat('  bc_supp-',CAST(c_custkey%100 AS VARCHAR(20)),'_base  ') ELSE ' ' END AS bc_line_id,
-          CASE WHEN c_custkey%5=0 THEN '' ELSE concat('supp-',CAST(c_custkey%100 AS VARCHAR(20))) END AS area_id FROM {customer}""",
+        SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN concat('  bc_supp-',CAST(c_custkey AS VARCHAR(20)),'_base  ') ELSE ' ' END AS bc_line_id,
+          CASE WHEN c_custkey%5=0 THEN '' ELSE concat('supp-',CAST(c_custkey AS VARCHAR(20))) END AS area_id FROM {customer}""",
     "plan_list": """
         SELECT concat('gpr',CAST(c_custkey+1 AS VARCHAR(20))) AS plan_title, c_custkey AS event_number,
           CASE WHEN c_nationkey%3=0 THEN 'Test' ELSE 'Train' END AS type,
@@ -123,6 +123,12 @@ DERIVED: dict[str, str] = {
           CASE WHEN pos%5=1 AND v<0 THEN 0.0E0 ELSE v END AS value
         FROM grid WHERE pos<10""",
     "scores": "SELECT run, t, pos AS mode, v AS z, v*v+0.01E0 AS var FROM grid WHERE pos<3",
+    # Mode scores on the steps of the cell table.
+    "step_means": "SELECT run, t, avg(hf-elevation) AS a, avg(lf-elevation) AS b FROM cells GROUP BY run, t",
+    "step_scores": """
+        SELECT run, t, 0 AS mode, a*0.77E0 AS z, a*0.1E0+0.01E0 AS var FROM step_means
+        UNION ALL SELECT run, t, 1, b*0.33E0, b*0.1E0+0.02E0 FROM step_means
+        UNION ALL SELECT run, t, 2, (a-b)*0.55E0, a*0.05E0+0.03E0 FROM step_means""",
 }
 
 
