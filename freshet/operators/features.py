@@ -98,7 +98,7 @@ def fit_forcing_features(
     if not k:
         k = norths_rule(eigen, found.n_samples).first()["modes"]
     k = min(k, eigen.count())
-    eof = cut_lineage(found.loadings.where(F.col("mode") < k).select("mode", "feature", "loading"))
+    eof = cut_lineage(found.loadings(k).select("mode", "feature", "loading"))
     features = derived_features(centred, eof, k, carry_over)
     nonzero = F.when(F.col("value") != 0, F.col("value"))
     stats = features.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop(nonzero).alias("std"))

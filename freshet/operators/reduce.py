@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,15 +27,20 @@ EIGEN = "mode int, eigenvalue double"
 
 @dataclass
 class Modes:
-    """Leading eigenvalues (descending) and unit loadings ``(mode, feature, loading)``.
+    """Leading eigenvalues (descending) and, on request, unit loadings ``(mode, feature, loading)``.
 
-    Every loading vector has its largest entry positive.
+    Every loading vector has its largest entry positive. ``complete`` tells
+    whether ``eigen`` lists every eigenvalue.
     """
 
     eigen: DataFrame
-    loadings: DataFrame
     n_samples: int
     complete: bool
+    build: Callable[[int], DataFrame]
+
+    def loadings(self, k: int) -> DataFrame:
+        """Loadings of the first ``k`` modes; only these are computed."""
+        return self.build(k)
 
 
 def principal_modes(
@@ -57,18 +62,14 @@ def principal_modes(
     n = data.select(*sample).distinct().count()
     c = data.select("_f").distinct().count()
     if method == "auto":
-        method = "primal" if c <= min(n, max_side) or (c <= max_side and n > max_side) else "dual" if n <= max_side else "block"
+        method = "primal" if c <= min(n, max_side) else "dual" if n <= max_side else "block"
     if method == "block":
-        found = _block_modes(data, sample, k, n, c)
+        eigen, build = _block_modes(data, sample, k, n, c)
     elif method == "dual":
-        found = _dual_modes(data, sample, n)
+        eigen, build = _dual_modes(data, sample, n)
     else:
-        found = _primal_modes(data, sample, n)
-    eigen, loadings = found
-    loadings = loadings.withColumnRenamed("_f", feature)
-    if k is not None:
-        loadings = loadings.where(F.col("mode") < k)
-    return Modes(eigen, loadings, n, method != "block")
+        eigen, build = _primal_modes(data, sample, n)
+    return Modes(eigen, n, method != "block", lambda m: _orient(build(m)).withColumnRenamed("_f", feature))
 
 
 def _numbered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -106,17 +107,20 @@ def _orient(loadings: DataFrame) -> DataFrame:
     )
 
 
-def _primal_modes(data: DataFrame, sample: Sequence[str], n: int) -> tuple[DataFrame, DataFrame]:
+def _primal_modes(data: DataFrame, sample: Sequence[str], n: int):
     index = _numbered(data, ["_f"])
     c = index.count()
     rows = data.join(index, "_f").groupBy(*sample).agg(F.collect_list("_i").alias("idx"), F.collect_list("_x").alias("val"))
     second, first = gram.second_moments(rows, c)
     values, vectors = _eigh((second - np.outer(first, first) / n) / max(n - 1, 1), min(n, c))
-    spread = _vectors_for(index, vectors, "_v").select("_f", F.posexplode("_v").alias("mode", "loading"))
-    return _eigen_frame(data.sparkSession, values), _orient(spread)
 
+    def build(k: int) -> DataFrame:
+        return _vectors_for(index, vectors[:, :k], "_v").select("_f", F.posexplode("_v").alias("mode", "loading"))
+
+    return _eigen_frame(data.sparkSession, values), build
 
-def _dual_modes(data: DataFrame, sample: Sequence[str], n: int) -> tuple[DataFrame, DataFrame]:
+
+def _dual_modes(data: DataFrame, sample: Sequence[str], n: int):
     index = _numbered(data, sample)
     placed = data.join(index, list(sample))
     rows = placed.groupBy("_f").agg(F.collect_list("_i").alias("idx"), F.collect_list("_x").alias("val"))
@@ -126,19 +130,22 @@ def _dual_modes(data: DataFrame, sample: Sequence[str], n: int) -> tuple[DataFra
     kept = values > values.max(initial=0.0) * 1e-12
     values, vectors = values[kept], vectors[:, kept]
     scaled = vectors / np.sqrt(values * max(n - 1, 1))
-    known = _vectors_for(index, scaled, "_u").join(index, list(sample)).select("_i", "_u")
-    sums = [F.sum(F.col("_x") * F.col("_u")[j]) for j in range(len(values))]
-    if not sums:
-        empty = data.sparkSession.createDataFrame([], "mode int, loading double")
-        return _eigen_frame(data.sparkSession, values), empty.withColumn("_f", F.lit(None))
-    projected = placed.join(known, "_i").groupBy("_f").agg(F.array(*sums).alias("_v"))
-    spread = projected.select("_f", F.posexplode("_v").alias("mode", "loading"))
-    return _eigen_frame(data.sparkSession, values), _orient(spread)
+
+    def build(k: int) -> DataFrame:
+        k = min(k, len(values))
+        if not k:
+            return data.select("_f", F.lit(0).alias("mode"), F.lit(0.0).alias("loading")).limit(0)
+        known = _vectors_for(index, scaled[:, :k], "_u")
+        sums = [F.sum(F.col("_x") * F.col("_u")[j]) for j in range(k)]
+        projected = data.join(known, list(sample)).groupBy("_f").agg(F.array(*sums).alias("_v"))
+        return projected.select("_f", F.posexplode("_v").alias("mode", "loading"))
+
+    return _eigen_frame(data.sparkSession, values), build
 
 
 def _block_modes(
     data: DataFrame, sample: Sequence[str], k: int | None, n: int, c: int, tol: float = 1e-9, max_rounds: int = 200
-) -> tuple[DataFrame, DataFrame]:
+):
     """Block iteration: X times the block, orthonormalise by a small Gram matrix, X' times the result.
 
     When no mode count is given, the block grows until its smallest eigenvalue
@@ -183,8 +190,12 @@ def _block_modes(
             break
         width = min(n, c, 2 * width)
     keep = width if width >= min(n, c) else (k or width - 8)
-    spread = weights.select("_f", F.posexplode(F.slice("_w", 1, keep)).alias("mode", "loading"))
-    return _eigen_frame(spark, eigen[:keep]), _orient(spread)
+    weights = cut_lineage(weights)
+
+    def build(m: int) -> DataFrame:
+        return weights.select("_f", F.posexplode(F.slice("_w", 1, min(m, keep))).alias("mode", "loading"))
+
+    return _eigen_frame(spark, eigen[:keep]), build
 
 
 def _dot(pattern: str, weights: np.ndarray):
@@ -311,7 +322,7 @@ def fit_eof(
     if not k:
         k = norths_rule(eigen, found.n_samples).first()["modes"]
     k = min(k, eigen.count())
-    eof = cut_lineage(found.loadings.where(F.col("mode") < k).select("mode", "cell_id", "loading"))
+    eof = cut_lineage(found.loadings(k).select("mode", "cell_id", "loading"))
     # Scores of centred data have mean 0 and population variance eigenvalue * (n - 1) / n.
     n = found.n_samples
     stats = eigen.where(F.col("mode") < k).select(

@@ -81,10 +81,10 @@ def storm_features(storms: DataFrame, n_components: int = 5) -> DataFrame:
     parts = None
     for name in ("precip_excess", "inflow"):
         found = principal_modes(hourly, ["event_id"], "hour", name, n_components)
-        arrays = found.loadings.groupBy("hour").agg(
+        n_modes = min(n_components, found.eigen.count())
+        arrays = found.loadings(n_modes).groupBy("hour").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("mode", "loading"))), lambda s: s["loading"]).alias("_l")
         )
-        n_modes = min(n_components, found.eigen.count())
         # Centring would only shift every score by the same amount; the scaling below removes it.
         scores = hourly.join(arrays, "hour").groupBy("event_id").agg(
             *[F.sum(F.col(name) * F.get("_l", j)).alias(f"{name}_{j}") for j in range(n_modes)]

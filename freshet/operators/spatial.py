@@ -258,9 +258,9 @@ def box_distance(p: Column, q: Column) -> Column:
 def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_id: str = "near_id") -> DataFrame:
     """Closest right box of every left box; the lowest id wins a tie.
 
-    The search radius starts at the size of a right box and doubles until every
-    left row has a partner within it. A partner found within the radius is
-    final, because everything outside is farther away.
+    The search radius starts near the usual distance between right boxes and
+    doubles until every left row has a partner within it. A partner found
+    within the radius is final, because everything outside is farther away.
     """
     right = right.select(right_id, *BOX)
     waiting = left.select(left_id, *BOX)
@@ -270,7 +270,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_i
     ).first()
     if not scale["n"]:
         raise ValueError("nothing to be near to")
-    radius = max(scale["size"] or 0.0, 1e-6)
+    whole = waiting.agg((F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h")).first()
+    spacing = ((whole["w"] or 0.0) * (whole["h"] or 0.0) / scale["n"]) ** 0.5
+    radius = max(scale["size"] or 0.0, spacing, 1e-6)
     found: DataFrame | None = None
     while True:
         reach = waiting.withColumns(

@@ -146,10 +146,13 @@ def interp_linear(
 
 def return_periods(maxima: DataFrame, k: int = 10) -> DataFrame:
     """Event maxima with ``rp_precip`` and ``rp_inflow`` from their own block-maximum curves."""
-    blocks = block_maxima(maxima, k)
+    # One row per event, and one per k events; both are read many times.
+    maxima = cut_lineage(maxima)
+    blocks = cut_lineage(block_maxima(maxima, k))
     out = maxima
     for source, target in (("precip_cum", "rp_precip"), ("inflow", "rp_inflow")):
-        out = interp_linear(out, return_period_curve(blocks, source), source, target)
+        curve = cut_lineage(return_period_curve(blocks, source))
+        out = interp_linear(out, curve, source, target)
     return out
 
 
