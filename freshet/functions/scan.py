@@ -94,26 +94,21 @@ def row_position(
     )
 
 
-def look_ahead(
-    df: DataFrame,
-    keys: Sequence[str],
-    step: str,
-    cols: Sequence[str],
-    distance: int,
-    width: int = STEP_CHUNK,
-) -> DataFrame:
-    """Add ``<col>_<i>``: the value of the same series at ``step + i``, i = 1..distance.
-
-    The first rows of a chunk are copied into the chunk before it, so one
-    shuffle on ``(keys, chunk)`` is enough and no task holds a whole series.
-    """
+def with_halo(df: DataFrame, step: str, distance: int, width: int = STEP_CHUNK) -> DataFrame:
+    """Add ``_chunk``; the first ``distance`` rows of a chunk are copied into the chunk before it."""
     if distance > width:
         raise ValueError(f"look-ahead of {distance} steps needs chunks of at least that width")
     here = chunk_of(step, width)
     near_start = F.pmod(F.col(step), F.lit(width)) < distance
-    copied = df.withColumn("_chunk", F.explode(F.when(near_start, F.array(here, here - 1)).otherwise(F.array(here))))
+    return df.withColumn("_chunk", F.explode(F.when(near_start, F.array(here, here - 1)).otherwise(F.array(here))))
+
+
+def ahead_in_chunk(
+    df: DataFrame, keys: Sequence[str], step: str, cols: Sequence[str], distance: int, width: int = STEP_CHUNK
+) -> DataFrame:
+    """Add ``<col>_<i>`` inside the chunks of ``with_halo`` and drop the copies."""
     ordered = Window.partitionBy(*keys, "_chunk").orderBy(F.col(step).cast("long"))
-    ahead = copied.select(
+    ahead = df.select(
         "*",
         *[
             F.first(c).over(ordered.rangeBetween(i, i)).alias(f"{c}_{i}")
@@ -121,7 +116,22 @@ def look_ahead(
             for c in cols
         ],
     )
-    return ahead.where(F.col("_chunk") == here).drop("_chunk")
+    return ahead.where(F.col("_chunk") == chunk_of(step, width)).drop("_chunk")
+
+
+def look_ahead(
+    df: DataFrame,
+    keys: Sequence[str],
+    step: str,
+    cols: Sequence[str],
+    distance: int,
+    width: int = STEP_CHUNK,
+) -> DataFrame:
+    """Add ``<col>_<i>``: the value of the same series at ``step + i``, i = 1..distance.
+
+    One shuffle on ``(keys, chunk)`` is enough, and no task holds a whole series.
+    """
+    return ahead_in_chunk(with_halo(df, step, distance, width), keys, step, cols, distance, width)
 
 
 def with_next(df: DataFrame, order: str, bucket: Column, cols: Sequence[str]) -> DataFrame:

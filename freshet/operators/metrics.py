@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import scan
 from freshet.operators.joins import pair
+from freshet.session import shares_partitioning
 
 CONTINGENCY = ("pod_mts", "rfa_mts", "csi_mts", "f2_mts", "f3_mts")
 
@@ -55,7 +56,9 @@ def matches(pairs: DataFrame, t_tol: int = 0, v_tol: float = 0.0, width: int = s
     """Add ``matched``: truth and prediction agree within ``v_tol``, up to ``t_tol`` steps ahead either way round."""
     hit = F.abs(_error()) <= v_tol
     if t_tol:
-        pairs = scan.look_ahead(pairs, ["run", "cell_id"], "t", ["x", "y"], t_tol, width)
+        if "_chunk" not in pairs.columns:
+            pairs = scan.with_halo(pairs, "t", t_tol, width)
+        pairs = scan.ahead_in_chunk(pairs, ["run", "cell_id"], "t", ["x", "y"], t_tol, width)
         for i in range(1, t_tol + 1):
             later = (F.abs(F.col("y") - F.col(f"x_{i}")) <= v_tol) | (F.abs(F.col("x") - F.col(f"y_{i}")) <= v_tol)
             hit = hit | F.coalesce(later, F.lit(False))
@@ -166,6 +169,22 @@ class MetricTables:
         self.base.unpersist()
 
 
+def _filed_pairs(truth: DataFrame, pred: DataFrame, t_tol: int) -> DataFrame:
+    """Pairs partitioned by run, cell and chunk of steps, which join, look-ahead and sums all share.
+
+    A cell's steps then lie together, so the per-cell and per-step sums are
+    almost complete before they are shuffled.
+    """
+
+    def filed(df: DataFrame) -> DataFrame:
+        chunked = scan.with_halo(df, "t", t_tol) if t_tol else df.withColumn("_chunk", scan.chunk_of("t"))
+        return chunked.repartition("run", "cell_id", "_chunk")
+
+    x = truth.select("run", "t", "cell_id", F.col("value").alias("x"))
+    y = pred.select("run", "t", "cell_id", F.col("value").alias("y"), F.col("sd").alias("s"))
+    return filed(x).join(filed(y), ["run", "cell_id", "_chunk", "t"])
+
+
 def metric_suite(
     truth: DataFrame,
     pred: DataFrame,
@@ -181,7 +200,11 @@ def metric_suite(
     Grouping sets give the per-step and the per-cell sums together; the event
     scores are sums over the per-cell rows, so the raw pairs are read once.
     """
-    pairs = matches(pair(truth, pred, conf), t_tol, v_tol)
+    if conf is None and shares_partitioning(truth.sparkSession):
+        pairs = _filed_pairs(truth, pred, t_tol)
+    else:
+        pairs = pair(truth, pred, conf)
+    pairs = matches(pairs, t_tol, v_tol)
     e = _error()
     base = pairs.groupingSets([["run", "t"], ["run", "cell_id"]], "run", "t", "cell_id").agg(
         F.grouping("t").alias("by_cell"),

@@ -21,13 +21,21 @@ def step_change(df: DataFrame, keys: Sequence[str] = ("run", "series"), width: i
     ``t`` is the dense step index of the run. A series that never changes has
     change 0 throughout.
     """
-    ahead = scan.look_ahead(df, keys, "t", ["value"], 1, width)
-    deltas = ahead.select(*keys, "t", F.abs(F.col("value_1") - F.col("value")).alias("_delta")).where(
-        F.col("_delta").isNotNull()
-    )
-    totals = deltas.groupBy(*keys).agg(F.sum("_delta").alias("_total"))
+    longest = df.agg(F.max("t")).first()[0]
+    if longest is not None and longest < width:
+        # Every series fits one chunk, so its total can be taken in the same window partition.
+        order = Window.partitionBy(*keys).orderBy(F.col("t").cast("long")).rangeBetween(1, 1)
+        deltas = df.select(*keys, "t", F.abs(F.first("value").over(order) - F.col("value")).alias("_delta"))
+        summed = deltas.withColumn("_total", F.sum("_delta").over(Window.partitionBy(*keys)))
+        summed = summed.where(F.col("_delta").isNotNull())
+    else:
+        ahead = scan.look_ahead(df, keys, "t", ["value"], 1, width)
+        deltas = ahead.select(*keys, "t", F.abs(F.col("value_1") - F.col("value")).alias("_delta")).where(
+            F.col("_delta").isNotNull()
+        )
+        summed = deltas.join(deltas.groupBy(*keys).agg(F.sum("_delta").alias("_total")), list(keys))
     share = F.when(F.col("_total") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_delta"), F.col("_total")))
-    return deltas.join(totals, list(keys)).select(*keys, "t", share.alias("change"))
+    return summed.select(*keys, "t", share.alias("change"))
 
 
 def all_series(hf: DataFrame, lf: DataFrame) -> DataFrame:

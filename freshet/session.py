@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Lets a join on (run, cell, chunk, t) use inputs partitioned by (run, cell, chunk).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -23,6 +26,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shares_partitioning(spark: SparkSession) -> bool:
+    """Whether joins may use inputs partitioned by some of the join keys."""
+    return spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "false"
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and the bench."""
     builder = (
@@ -40,19 +48,26 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master, where the driver's disk is every task's disk, may fall
     back on a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/freshet-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and read it back.
+
+    The table outlives lost executors, is computed once, and keeps column
+    pruning and filter pushdown for what follows.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,12 +6,13 @@ base table. Work grows with the base tables.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freshet.session import shared_folder, tune
+from freshet.sources.dataset import table_exists
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -132,6 +133,10 @@ DERIVED: dict[str, str] = {
 }
 
 
+# Views that Spark keeps as tables.
+STORED = ("cells",)
+
+
 def _all() -> list[str]:
     return [*VIEWS, *SPLIT, *DERIVED]
 
@@ -143,12 +148,12 @@ def _text(name: str, spark: bool) -> str:
     return text.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING") if spark else text
 
 
-def _needed(text: str, found: list[str]) -> list[str]:
-    import re
-
+def _needed(text: str, found: list[str], leaves: tuple[str, ...] = ()) -> list[str]:
+    """Views a statement reads, dependencies first; ``leaves`` are not followed."""
     for name in _all():
         if name not in found and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
-            _needed(_text(name, False), found)
+            if name not in leaves:
+                _needed(_text(name, False), found, leaves)
             if name not in found:
                 found.append(name)
     return found
@@ -156,8 +161,9 @@ def _needed(text: str, found: list[str]) -> list[str]:
 
 def with_views(body: str, spark: bool = False) -> str:
     """Put the views a statement reads in front of it."""
-    names = _needed(body, [])
-    ctes = [f"{n} AS ({_text(n, spark)})" for n in names]
+    leaves = STORED if spark else ()
+    names = _needed(body, [], leaves)
+    ctes = [f"{n} AS ({'SELECT * FROM {' + n + '}' if n in leaves else _text(n, spark)})" for n in names]
     if not ctes:
         return body
     return f"WITH {', '.join(ctes)}, " + body[5:] if body.lstrip().startswith("WITH ") else f"WITH {', '.join(ctes)} {body}"
@@ -165,30 +171,45 @@ def with_views(body: str, spark: bool = False) -> str:
 
 def oracle(body: str) -> str:
     """Statement for the checking engine."""
-    return with_views(body.strip()).replace('AS STRING)', 'AS VARCHAR)').format(**{t: t for t in BASE})
+    return with_views(body.strip()).replace("AS STRING)", "AS VARCHAR)").format(**{t: t for t in BASE})
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf: str, body: str) -> DataFrame:
-    """Statement over the views and ``{base}`` tables as a DataFrame."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    text = with_views(body.strip(), spark=True)
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """View as a table on disk, written once per session.
+
+    It stands for the aligned data set, which real jobs read from disk as well.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _PATHS or not table_exists(spark, _PATHS[key]):
+        path = shared_folder(spark)
+        _formatted(spark, sf, _text(name, True)).write.parquet(path)
+        _PATHS[key] = path
+    return spark.read.parquet(_PATHS[key])
+
+
+def _formatted(spark: SparkSession, sf: str, text: str) -> DataFrame:
     used = {t: table(spark, sf, t) for t in BASE if "{" + t + "}" in text}
+    used |= {n: stored(spark, sf, n) for n in STORED if "{" + n + "}" in text}
     return spark.sql(text, **used) if used else spark.sql(text)
 
 
+def run_sql(spark: SparkSession, sf: str, body: str) -> DataFrame:
+    """Statement over the views and ``{base}`` tables as a DataFrame."""
+    tune(spark)
+    return _formatted(spark, sf, with_views(body.strip(), spark=True))
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return run_sql(spark, sf, f"SELECT * FROM {name}")
 
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder every task can reach."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        return tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(shared, f"freshet-{uuid.uuid4().hex}")
+    return shared_folder(spark)
