@@ -55,15 +55,15 @@ def _largest_rings(spark, sf):
     return rnd(spatial.largest_overlap(hf, lf, require_all=False))
 
 
-AOI = [(10.5, 5.25), (40.5, 5.25), (40.5, 1000000.0), (10.5, 1000000.0)]
+AOI = [(10.5, 1.25), (40.5, 1.25), (40.5, 1000000.0), (10.5, 1000000.0)]
 
 
-@query("within_aoi", "SELECT cell_id, x0, y0 FROM hf_mesh WHERE x0<=40.5 AND x1>=10.5 AND y1>=5.25")
+@query("within_aoi", "SELECT cell_id, x0, y0 FROM hf_mesh WHERE x0<=40.5 AND x1>=10.5 AND y1>=1.25")
 def _aoi(spark, sf):
     return spatial.within_aoi(view(spark, sf, "hf_mesh"), AOI).select("cell_id", "x0", "y0")
 
 
-@query("within_aoi_rings", "SELECT cell_id, x0, y0 FROM hf_mesh WHERE x0<=40.5 AND x1>=10.5 AND y1>=5.25")
+@query("within_aoi_rings", "SELECT cell_id, x0, y0 FROM hf_mesh WHERE x0<=40.5 AND x1>=10.5 AND y1>=1.25")
 def _aoi_rings(spark, sf):
     return spatial.within_aoi(spatial.rectangle_ring(view(spark, sf, "hf_mesh")), AOI).select("cell_id", "x0", "y0")
 
@@ -208,7 +208,7 @@ def _restrict(spark, sf):
 @query(
     "cell_info",
     f"""SELECT h.cell_id, h.x0, h.y0, h.elevation, (h.x1-h.x0)*(h.y1-h.y0) AS area, m.lf_cell_id FROM hf_mesh h
-       JOIN ({LARGEST}) m ON m.cell_id=h.cell_id WHERE h.x0<=40.5 AND h.x1>=10.5 AND h.y1>=5.25""",
+       JOIN ({LARGEST}) m ON m.cell_id=h.cell_id WHERE h.x0<=40.5 AND h.x1>=10.5 AND h.y1>=1.25""",
 )
 def _cell_info(spark, sf):
     mesh = view(spark, sf, "hf_mesh")

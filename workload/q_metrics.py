@@ -226,10 +226,10 @@ KNOTS = 7
 @query(
     "quantile_knots",
     "SELECT site, " + ", ".join(f"round(quantile_cont(flow, CAST({i}.0E0/8 AS DOUBLE)),6) AS k{i}" for i in range(1, KNOTS + 1))
-    + " FROM (SELECT line AS site, flow FROM ref_lines) r GROUP BY site",
+    + " FROM (SELECT line AS site, flow*1.00123457E0 AS flow FROM ref_lines) r GROUP BY site",
 )
 def _knots(spark, sf):
-    obs = view(spark, sf, "ref_lines").withColumnRenamed("line", "site")
+    obs = view(spark, sf, "ref_lines").select(F.col("line").alias("site"), (F.col("flow") * 1.00123457).alias("flow"))
     found = stats.quantile_knots(obs, KNOTS)
     return rnd(found.select("site", *[F.col("knots")[i - 1].alias(f"k{i}") for i in range(1, KNOTS + 1)]))
 
@@ -298,11 +298,11 @@ def _cdf_points(spark, sf):
     "box_summary",
     """SELECT event, count(*) AS n, round(min(rmse_cell_toi),6) AS lo, round(quantile_cont(rmse_cell_toi,0.25),6) AS q1,
        round(quantile_cont(rmse_cell_toi,0.5),6) AS median, round(quantile_cont(rmse_cell_toi,0.75),6) AS q3, round(max(rmse_cell_toi),6) AS hi
-       FROM cell_metrics WHERE cell_id%13<>0 GROUP BY event""",
+       FROM (SELECT event, rmse_cell_toi*1.00123457E0 AS rmse_cell_toi FROM cell_metrics WHERE cell_id%13<>0) m GROUP BY event""",
 )
 def _box(spark, sf):
     gaps = view(spark, sf, "cell_metrics").withColumn(
-        "rmse_cell_toi", F.when(F.col("cell_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("rmse_cell_toi"))
+        "rmse_cell_toi", F.when(F.col("cell_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("rmse_cell_toi") * 1.00123457)
     )
     return rnd(stats.box_summary(gaps, "rmse_cell_toi"))
 

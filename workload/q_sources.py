@@ -122,10 +122,10 @@ def _gather(spark, sf):
 
 @query(
     "filter_keys",
-    "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^http.*example.*/en/') AND url LIKE 'http%' AND url LIKE '%5'",
+    "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^http.*example.*/') AND url LIKE 'http%' AND url LIKE '%5'",
 )
 def _filter_keys(spark, sf):
-    return gather.filter_keys(table(spark, sf, "pages").select("page_id", "url"), "http*example*/en/", "5", key="url")
+    return gather.filter_keys(table(spark, sf, "pages").select("page_id", "url"), "http*example*/", "5", key="url")
 
 
 @query(
