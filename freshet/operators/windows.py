@@ -90,7 +90,7 @@ def clip(df: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def event_hour(df: DataFrame) -> DataFrame:
     """Position of each record inside its event, in time order."""
-    out = scan.row_position(df, ["event_id"], ["datetime"], F.to_date("datetime"), "hour")
+    out = scan.row_position(df, ["event_id"], ["datetime"], F.date_trunc("hour", "datetime"), "hour")
     return out.withColumn("hour", F.col("hour").cast("int"))
 
 
