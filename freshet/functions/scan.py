@@ -9,6 +9,7 @@ two together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,9 +43,9 @@ def quantile_bounds(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUC
 def bucket_of(col: str | Column, bounds: Sequence[float]) -> Column:
     """Index of the bucket of a value: how many bounds are <= it."""
     value = F.col(col) if isinstance(col, str) else col
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
+    # Without bounds there is one bucket; it must still look like a column, because
+    # a join on a constant would be planned as a pairwise join.
+    edges = F.array(*[F.lit(float(b)) for b in bounds or [math.inf]])
     return F.size(F.filter(edges, lambda edge: edge <= value))
 
 

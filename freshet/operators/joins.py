@@ -110,9 +110,8 @@ def restrict(df: DataFrame, ids: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row by an equi join on a constant."""
-    one = scalars.limit(1).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    """Attach the columns of a one-row aggregate to every row, as scalar subqueries."""
+    return df.select("*", *[scalars.select(c).scalar().alias(c) for c in scalars.columns])
 
 
 def pair_up(left: DataFrame, right: DataFrame, block: int = 1024, salts: int = 1) -> DataFrame:

@@ -118,7 +118,8 @@ def fit_surrogate(train: Dataset, reducers: Reducers, cfg: Config) -> DataFrame:
 
 def predict_cells(lf: DataFrame, reducers: Reducers, model: DataFrame) -> DataFrame:
     """Mean and variance on every cell ``(run, t, cell_id, value, var)``."""
-    scores = gp.predict_gpr(lf_inputs(lf, reducers), model)
+    # Mode scores are small next to the cells they spread to, and several results start from them.
+    scores = cut_lineage(gp.predict_gpr(lf_inputs(lf, reducers), model))
     return to_cells(scores.select("run", "t", "mode", F.col("mean").alias("z"), "var"), reducers.hf)
 
 
