@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.operators import joins, sets, spatial
+from freshet.session import cut_lineage
 from workload.registry import query, rnd
 from workload.views import run_sql, table, view
 
@@ -122,7 +123,8 @@ def _weights(spark, sf):
 )
 def _interpolate(spark, sf):
     points = run_sql(spark, sf, POINTS)
-    weights = spatial.triangle_weights(view(spark, sf, "triangles"), points)
+    # Weights do not depend on time: they are made once and kept.
+    weights = cut_lineage(spatial.triangle_weights(view(spark, sf, "triangles"), points))
     return rnd(spatial.interpolate_surface(view(spark, sf, "lf_levels"), weights, points.select("cell_id", "elevation")))
 
 
