@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, mix, topk, warc, winnow
+from freshet.llm import chat, jaccard, mix, topk, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write(table(spark, sf, "pages"))
     return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_jaccard")
+def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf, "documents"))
