@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, jaccard, mix, topk, warc, winnow
+from freshet.llm import chat, jaccard, mix, pii, topk, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,9 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_jaccard")
 def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.classes(table(spark, sf, "documents"))
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents"), redact=False)
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE_KINDS], F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
