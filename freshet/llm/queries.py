@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, jaccard, mix, pii, topk, warc, winnow
+from freshet.llm import chat, jaccard, mix, pieces, pii, topk, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def piece_model() -> str:
+    """Path of the vocabulary; ``PIECE_MODEL`` names another one."""
+    given = os.environ.get("PIECE_MODEL")
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -115,3 +126,23 @@ def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(table(spark, sf, "documents"), redact=False)
     return found.select("doc_id", *[f"n_{k}" for k in pii.BASE_KINDS], F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_pieces")
+def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    model = piece_model()
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, model, rate=0.1, seed=1), model)
+    ids = F.array_join(F.transform("pieces", lambda x: x.cast("string")), " ")
+    return back.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(F.encode(ids, "UTF-8"), 256).alias("pieces_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
