@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, jaccard, mix, pieces, pii, topk, toxicity, warc, winnow
+from freshet.llm import chat, jaccard, mix, passages, pieces, pii, topk, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,8 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf, "documents"))
