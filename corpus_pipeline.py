@@ -5,24 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from freshet.llm import mix
+from freshet.llm import jaccard, mix, pieces, pii, toxicity
+from freshet.llm.queries import piece_model
+from freshet.session import cut_lineage
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below 0.7; the model is learned from the labels of this corpus."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of the Jaccard join, that with the smallest id; unlinked ones all stay."""
+    others = jaccard.classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind in brackets; ``n_chars`` follows the text."""
+    found = pii.redact(docs)
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in the order of the mix; all stay."""
-    order = mix.interleave(docs, mix.tempered(docs))
-    return order.orderBy("mix_slot", "mix_place").select(*docs.columns)
+    """Rows in the order of the mix of sources; all stay."""
+    return mix.interleave(docs, mix.tempered(docs)).orderBy("mix_slot", "mix_place").select(*docs.columns)
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece numbers of each text, with the columns that identify and describe it."""
+    return pieces.encode(docs, piece_model(), rate=0.1, seed=1).drop("text")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mix", mixed)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("n-gram Jaccard join", distinct_texts),
+    ("PII", private),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding and decoding", segmented),
+]
 
-# Learned scores and seeded segmentations are not expressible in SQL.
+# Learned scores, a learned field and seeded segmentations are not expressible in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is kept in the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = cut_lineage(docs)
     return docs

@@ -348,4 +348,17 @@ def find(docs: DataFrame, weights: dict[str, float] | None = None, redact: bool
     return texts.mapInArrow(run, "doc_id long, base string, spans string, n_email long, n_ip long, n_card long, n_phone long" + ", redacted string" * redact)
 
 
+def redact(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` with each text redacted and all other columns as they are; a null text stays null."""
+    model = fit(docs) if weights is None else weights
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = [None if t is None else redacted(t, spans_of(t, model)[1]) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _FOUND = [("doc_id", pa.int64()), ("base", pa.string()), ("spans", pa.string()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS)]

@@ -311,3 +311,18 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, spans: bo
     return got.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["spans"] if spans else [])
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text among their columns) that score below the threshold, as they are."""
+    words, stems, weights = learn(docs, labels)
+    w = np.array(weights)
+
+    def run(batches):
+        lexicon = Lexicon(words, stems)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            x = np.array([features(t or "", lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
