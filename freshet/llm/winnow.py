@@ -79,7 +79,7 @@ def as_text(packed: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two sets of hashes; two empty ones are alike (1.0)."""
+    """Jaccard likeness of two arrays of distinct hashes; two empty ones are alike (1.0)."""
     both = F.size(F.array_intersect(a, b))
     all_ = F.size(a) + F.size(b) - both
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
@@ -153,7 +153,7 @@ def compare_neighbours(docs: DataFrame, k: int = TOKENS_PER_GRAM, w: int = GRAMS
     rows = rows.withColumn("edited", F.when(F.col("own"), edited))
     rows = fingerprints(rows, "text", "fp", k, w)
     rows = fingerprints(rows, "edited", "edited_fp", k, w)
-    hashes = lambda c: F.transform(c, lambda x: F.shiftrightunsigned(x, 27))
+    hashes = lambda c: F.array_distinct(F.transform(c, lambda x: F.shiftrightunsigned(x, 27)))
     rows = rows.withColumns({"_hash": hashes("fp"), "_ehash": hashes("edited_fp")})
     rows = rows.withColumn("_next", F.lead("_hash").over(window))
     return rows.where("own").select(
