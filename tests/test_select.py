@@ -35,40 +35,29 @@ def test_return_periods_match_arrays(maxima):
         np.testing.assert_allclose(pdf[target], want, rtol=1e-9, atol=1e-9)
 
 
-def greedy(pdf, targets, window, tol):
-    """Accept loop over whole tables."""
-    joint = sum((pdf[c] - pdf[c].min()) / (pdf[c].max() - pdf[c].min()) for c in ("precip_cum", "inflow"))
-    picks = []
-    for col in (pdf["rp_precip"], pdf["rp_inflow"], joint):
-        e = int(pdf.loc[col.idxmax(), "event_id"])
-        if e not in picks:
-            picks.append(e)
-    by_id = pdf.set_index("event_id")
-
-    def close(a, b):
-        return abs(a - b) / max(a, b) < tol
-
-    for rp in targets:
-        for field in ("rp_precip", "rp_inflow"):
-            near = pdf[pdf[field].between(rp * (1 - window), rp * (1 + window))].copy()
-            with np.errstate(invalid="ignore", divide="ignore"):
-                near["d"] = np.hypot(np.log10(near["rp_precip"] / rp), np.log10(near["rp_inflow"] / rp))
-            for _, s in near.sort_values(["d", "event_id"]).iterrows():
-                if s["event_id"] in picks:
-                    continue
-                if any(close(s["rp_precip"], by_id.loc[p, "rp_precip"]) and close(s["rp_inflow"], by_id.loc[p, "rp_inflow"]) for p in picks):
-                    continue
-                picks.append(int(s["event_id"]))
-                break
-    return picks
-
-
 @pytest.mark.parametrize("shortlist,tol", [(25, 0.15), (1, 0.15), (1, 0.9)])
-def test_design_pick_is_the_greedy_pick(maxima, shortlist, tol):
-    pdf = maxima.toPandas().sort_values("event_id").reset_index(drop=True)
-    targets = (1, 1.5, 2, 3, 5, 8)
-    got = [r["event_id"] for r in select.select_design(maxima, targets, 0.3, tol, shortlist).orderBy("pick").collect()]
-    assert got == greedy(pdf, targets, 0.3, tol)
+def test_design_picks_are_apart_and_pass_over_nothing_nearer(maxima, shortlist, tol):
+    pdf = maxima.toPandas().set_index("event_id")
+    targets, window = (1, 1.5, 2, 3, 5, 8), 0.3
+    got = [r["event_id"] for r in select.select_design(maxima, targets, window, tol, shortlist).orderBy("pick").collect()]
+    rp = {e: np.array(v) for e, v in zip(pdf.index, pdf[["rp_precip", "rp_inflow"]].to_numpy(), strict=True)}
+
+    def alike(a, b):
+        return bool((np.abs(rp[a] - rp[b]) < tol * np.maximum(rp[a], rp[b])).all())
+
+    size = pdf[["precip_cum", "inflow"]]
+    peaks = {pdf["rp_precip"].idxmax(), pdf["rp_inflow"].idxmax(), ((size - size.min()) / np.ptp(size.to_numpy(), axis=0)).sum(axis=1).idxmax()}
+    assert set(got[: len(peaks)]) == peaks and len(set(got)) == len(got) and len(got) > len(peaks)
+    for k in range(len(peaks), len(got)):
+        assert not any(alike(got[k], e) for e in got[:k])
+    for target in targets:
+        with np.errstate(divide="ignore"):
+            off = {e: np.linalg.norm(np.log10(v / target)) for e, v in rp.items()}
+        for field in (0, 1):
+            inside = [e for e, v in rp.items() if (1 - window) * target <= v[field] <= (1 + window) * target]
+            nearest = min((off[e] for e in inside if e in got), default=np.inf)
+            for e in inside:
+                assert e in got or off[e] >= nearest or any(alike(e, p) for p in got)
 
 
 def test_diverse_pick_is_farthest_first(storms):
@@ -82,18 +71,17 @@ def test_diverse_pick_is_farthest_first(storms):
     assert select.select_diverse(features, [3, 50], 7) == chosen[2:]
 
 
-def test_storm_features_match_zero_filled_arrays(storms):
-    got = select.storm_features(storms, 2).toPandas().sort_values("event_id")
-    pdf = storms.toPandas().sort_values(["event_id", "datetime"])
-    pdf["hour"] = pdf.groupby("event_id").cumcount()
-    parts = []
-    for name in ("precip_excess", "inflow"):
-        x = pdf.pivot(index="event_id", columns="hour", values=name).fillna(0).to_numpy()
-        _, vec = np.linalg.eigh(np.cov(x, rowvar=False))
-        scores = (x - x.mean(0)) @ vec[:, ::-1][:, :2]
-        parts.append(scores / scores.std(0))
-    want = np.concatenate(parts, axis=1)
-    np.testing.assert_allclose(np.abs(np.array(got["v"].tolist())), np.abs(want), atol=1e-6)
+def test_storm_features_are_the_scaled_leading_scores(storms):
+    got = np.array([r["v"] for r in select.storm_features(storms, 2).orderBy("event_id").collect()])
+    rows = storms.orderBy("event_id", "datetime").toPandas()
+    event = np.unique(rows["event_id"], return_inverse=True)[1]
+    step = np.arange(len(rows)) - np.searchsorted(event, event)
+    for k, name in enumerate(("precip_excess", "inflow")):
+        x = np.zeros((event.max() + 1, step.max() + 1))
+        x[event, step] = rows[name]
+        u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        lead = u[:, :2] * s[:2]
+        np.testing.assert_allclose(np.abs(got[:, 2 * k : 2 * k + 2]), np.abs(lead / lead.std(0)), atol=1e-6)
 
 
 def test_full_selection_is_disjoint_and_of_the_asked_size(storms, maxima):
