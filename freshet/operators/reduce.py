@@ -52,7 +52,7 @@ def principal_modes(
     max_side: int = MAX_SIDE,
     method: str = "auto",
 ) -> Modes:
-    """Principal components of the matrix ``sample x feature``; absent entries count as 0.
+    """Principal components of the matrix ``sample x feature``; absent, NULL and NaN entries count as 0.
 
     The smaller side decides: a feature Gram matrix or a sample Gram matrix is
     solved on the driver when that side fits ``max_side``; otherwise a block of
@@ -63,6 +63,7 @@ def principal_modes(
     c = data.select("_f").distinct().count()
     if method == "auto":
         method = "primal" if c <= min(n, max_side) else "dual" if n <= max_side else "block"
+    data = data.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if method == "block":
         eigen, build = _block_modes(data, sample, k, n, c)
     elif method == "dual":
@@ -185,6 +186,8 @@ def _block_modes(
             if previous is not None and np.allclose(values[:settled], previous[:settled], rtol=tol, atol=0.0):
                 break
             previous = values
+        else:
+            raise RuntimeError(f"the modes did not settle in {max_rounds} rounds")
         eigen = values / max(n - 1, 1)
         if k is not None or width >= min(n, c) or eigen[width - 8 - 1] <= 1.0:
             break

@@ -7,6 +7,7 @@ Rings must be convex; split others first. All tables share one coordinate system
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -262,6 +263,10 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_i
     doubles until every left row has a partner within it. A partner found
     within the radius is final, because everything outside is farther away.
     """
+    finite = F.forall(F.array(*BOX), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
+    bad = left.select(finite.alias("ok")).unionByName(right.select(finite.alias("ok"))).where(~F.col("ok"))
+    if not bad.isEmpty():
+        raise ValueError("boxes need finite coordinates")
     right = right.select(right_id, *BOX)
     waiting = left.select(left_id, *BOX)
     scale = right.agg(
@@ -375,12 +380,14 @@ def triangle_weights(triangles: DataFrame, points: DataFrame, slack: float = 1e-
 def interpolate_surface(lf: DataFrame, weights: DataFrame, cells: DataFrame) -> DataFrame:
     """Interpolated level of every cell per run and step, never below ground; ground outside the hull.
 
-    ``cells``: ``cell_id, elevation``.
+    ``cells``: ``cell_id, elevation``. A cell with a corner that has no level at
+    a step (no row, NULL or NaN) is at ground there.
     """
     mapped = weights.join(cells.select("cell_id", "elevation"), "cell_id")
     spread = lf.withColumnRenamed("cell_id", "lf_cell_id").join(mapped, "lf_cell_id")
+    level = F.when(~F.isnan("value"), F.col("w") * F.col("value"))
     summed = spread.groupBy("run", "t", "cell_id").agg(
-        F.sum(F.col("w") * F.col("value")).alias("value"), F.first("elevation").alias("elevation")
+        F.when(F.count(level) == 3, F.sum(level)).alias("value"), F.first("elevation").alias("elevation")
     )
     inside = summed.select("run", "t", "cell_id", floor_to_ground("value", "elevation").alias("value"))
     outside = cells.join(weights.select("cell_id").distinct(), "cell_id", "left_anti").select("cell_id", "elevation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,9 @@ def clip(df: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def event_hour(df: DataFrame) -> DataFrame:
-    """Position of each record inside its event, in time order."""
-    out = scan.row_position(df, ["event_id"], ["datetime"], F.date_trunc("hour", "datetime"), "hour")
+    """Position of each record inside its event, in time order; equal times are ordered by the other columns."""
+    ties = [c for c in df.columns if c not in ("event_id", "datetime")]
+    out = scan.row_position(df, ["event_id"], ["datetime", *ties], F.date_trunc("hour", "datetime"), "hour")
     return out.withColumn("hour", F.col("hour").cast("int"))
 
 
@@ -178,8 +180,8 @@ def api(
 
     ``carry_over`` continues the memory from one run into the next, in run
     order. Steps are scanned in chunks: inside a chunk the decayed sum is a
-    running sum of ``x_t / k^r``; what earlier chunks leave behind is added
-    with its decay, up to the age at which it no longer changes a double.
+    running sum of ``x_t / k^r``; what all earlier chunks leave behind is added
+    with its decay.
     """
     if carry_over:
         return _stacked_api(df, k, window, keys, value, name, width)
@@ -203,21 +205,30 @@ def api(
     left_behind = tagged.groupBy(*keys, "_chunk").agg(
         F.sum(F.col(value) * F.pow(F.lit(float(k)), F.lit(width - 1) - place)).alias("_left")
     )
-    horizon = max(1, math.ceil(60 / (-math.log(k) * width)) + 1)
-    newest = left_behind.groupBy(*keys).agg(F.max("_chunk").alias("_newest"))
-    bounded = left_behind.join(newest, list(keys)) if keys else with_scalars(left_behind, newest)
-    later = bounded.withColumn("_gap", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).where(
-        F.col("_chunk") + F.col("_gap") <= F.col("_newest")
-    )
-    carried = later.groupBy(*keys, (F.col("_chunk") + F.col("_gap")).alias("_chunk")).agg(
-        F.sum(F.col("_left") * F.pow(F.lit(float(k)), (F.col("_gap") - 1) * width)).alias("_carried")
-    )
+    carried = _carried(left_behind, keys, float(k) ** width)
     joined = local.join(carried, [*keys, "_chunk"], "left")
     decayed = F.pow(F.lit(float(k)), place)
     total = F.col("_sum") * decayed + F.coalesce("_carried", F.lit(0.0)) * decayed * float(k)
     return joined.select(*df.columns, total.alias(name))
 
 
+def _carried(left_behind: DataFrame, keys: Sequence[str], fade: float) -> DataFrame:
+    """What earlier chunks leave to each chunk; a group has one row a chunk, whatever the number of steps."""
+    fields = ", ".join(f"`{c}` {left_behind.schema[c].dataType.simpleString()}" for c in [*keys, "_chunk"])
+
+    def scan_chunks(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_chunk")
+        out, state, last = [], 0.0, None
+        for chunk, left in zip(group["_chunk"].tolist(), group["_left"].tolist(), strict=True):
+            if last is not None:
+                state = (state * fade + before) * fade ** (chunk - last - 1)
+            out.append(state)
+            last, before = chunk, left
+        return group[[*keys, "_chunk"]].assign(_carried=out)
+
+    return left_behind.groupBy(*keys).applyInPandas(scan_chunks, f"{fields}, `_carried` double")
+
+
 def _stacked_api(df, k, window, keys, value, name, width) -> DataFrame:
     lengths = df.groupBy(*keys).agg((F.max("t") + 1).alias("_length"))
     # One row per run: its offset in the stacked order.

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +23,28 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application: their Python need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere, and ship the package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def shares_partitioning(spark: SparkSession) -> bool:
@@ -45,7 +66,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,6 +83,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/freshet-{uuid.uuid4().hex}"
 
 
+_KEPT: dict[str, list[str]] = {}
+
+
+@contextmanager
+def job_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``cut_lineage`` keeps inside this scope when it ends.
+
+    Results must be written or collected before the scope is left.
+    """
+    app = spark.sparkContext.applicationId
+    before = len(_KEPT.setdefault(app, []))
+    try:
+        yield
+    finally:
+        gone, _KEPT[app] = _KEPT[app][before:], _KEPT[app][:before]
+        jvm = spark.sparkContext._jvm
+        for path in gone:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
@@ -69,5 +111,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     pruning and filter pushdown for what follows.
     """
     path = shared_folder(df.sparkSession)
+    _KEPT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -116,8 +116,8 @@ def _weights(spark, sf):
 
 @query(
     "interpolate_surface",
-    f"""WITH s AS (SELECT v.run, v.t, l.cell_id, sum(l.w*v.value) AS z FROM ({LONG}) l JOIN lf_levels v ON v.cell_id=l.lf_cell_id GROUP BY 1,2,3)
-       SELECT s.run, s.t, s.cell_id, round(greatest(s.z,p.elevation),6) AS value FROM s JOIN ({POINTS}) p ON p.cell_id=s.cell_id
+    f"""WITH s AS (SELECT v.run, v.t, l.cell_id, CASE WHEN count(v.value)=3 THEN sum(l.w*v.value) END AS z FROM ({LONG}) l JOIN lf_levels v ON v.cell_id=l.lf_cell_id GROUP BY 1,2,3)
+       SELECT s.run, s.t, s.cell_id, round(greatest(coalesce(s.z,p.elevation),p.elevation),6) AS value FROM s JOIN ({POINTS}) p ON p.cell_id=s.cell_id
        UNION ALL SELECT g.run, g.t, p.cell_id, round(p.elevation,6) FROM ({POINTS}) p JOIN (SELECT DISTINCT run, t FROM lf_levels) g ON true
        WHERE p.cell_id NOT IN (SELECT cell_id FROM ({LONG}) l)""",
 )

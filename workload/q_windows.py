@@ -139,7 +139,7 @@ def _api_window(spark, sf):
 @query(
     "api_carry_over",
     f"""WITH p AS (SELECT run, t, rain, row_number() OVER (ORDER BY run, t) AS i FROM ({RAIN}) r)
-       SELECT a.run, a.t, round(a.rain,6)+0.0E0 AS rain, round(sum(b.rain*pow(0.85E0,a.i-b.i)),6)+0.0E0 AS api FROM p a JOIN p b ON b.i<=a.i AND b.i>a.i-400 GROUP BY a.run, a.t, a.rain""",
+       SELECT a.run, a.t, round(a.rain,6)+0.0E0 AS rain, round(sum(b.rain*pow(0.85E0,a.i-b.i)),6)+0.0E0 AS api FROM p a JOIN p b ON b.i<=a.i GROUP BY a.run, a.t, a.rain""",
 )
 def _api_stacked(spark, sf):
     return rnd(windows.api(run_sql(spark, sf, RAIN), 0.85, carry_over=True))
