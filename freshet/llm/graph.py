@@ -43,7 +43,7 @@ def _folded(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -53,9 +53,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest id reachable from each node that has a link.
 
+    With ``rounds``, no more than so many are made: nodes of one component are
+    then still connected, but not all of them may have its number yet.
+
     ``edges`` has long columns ``a`` and ``b``; links to oneself and links with
     a null end are ignored. Alternates the large-star and small-star steps
     until the links no longer change, so the number of rounds grows with the
@@ -64,11 +67,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = cut_lineage(_folded(edges).distinct())
     mark = None
-    while True:
+    while rounds is None or rounds > 0:
+        if rounds is not None:
+            rounds -= 1
+            now = cut_lineage(_small_star(_large_star(now)))
+            continue
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
         now = cut_lineage(_small_star(_large_star(now)))
-    roots = now.select(F.col("b").alias("a")).distinct().select("a", F.col("a").alias("b"))
-    return now.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = now.select(F.col("b").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(roots.select("node", F.col("node").alias("component")))
