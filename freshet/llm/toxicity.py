@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.kernel import _LOWER, blocks
+
 FIT_ROWS = (6_000, 12_000)  # labelled rows of label 1 and 0 at most, about
 LEXICON_ENTRIES = 4_000
 LEAST_ROWS = 4  # labelled rows of label 1 that an entry needs
@@ -38,7 +40,8 @@ _REPORTING = frozenset("said says say wrote writes called calling quoted quote q
 _QUOTES = "\"“”„«»‘’‹›"
 
 _WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
-_PIECE = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*|[\"“”„«»‹›\n]")
+# Letters that are lowered: A-Z and the Latin-1 capitals.
+_CAPITALS = {c: c + 32 for c in (*range(65, 91), *range(0xC0, 0xDF)) if c != 0xD7}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,10 +60,11 @@ class Node:
 
 
 class Lexicon:
-    """Entries with weights: ``words`` within one edit, ``stems`` as exact prefixes."""
+    """Entries with weights: ``words`` within one edit (if ``fuzzy`` has them), ``stems`` as exact prefixes."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str] | None = None):
         self.words, self.stems = words, stems
+        self.fuzzy = {w for w in (words if fuzzy is None else fuzzy) if len(w) >= FUZZY_LENGTH}
         self.root = Node()
         for entries, name in ((words, "word"), (stems, "stem")):
             for entry in sorted(entries):
@@ -68,14 +72,15 @@ class Lexicon:
                 for c in entry:
                     node = node.next.setdefault(c, Node())
                 setattr(node, name, entry)
-        lengths = [len(w) for w in words if len(w) >= FUZZY_LENGTH]
+        lengths = [len(w) for w in self.fuzzy]
         self.span = (min(lengths) - 1, max(lengths) + 1) if lengths else (1, 0)
         # One edit leaves the first or the second half of an entry as it is.
-        self.heads = {w[: len(w) // 2] for w in words if len(w) >= FUZZY_LENGTH}
-        self.tails = {w[len(w) // 2 :] for w in words if len(w) >= FUZZY_LENGTH}
+        self.heads = {w[: len(w) // 2] for w in self.fuzzy}
+        self.tails = {w[len(w) // 2 :] for w in self.fuzzy}
         self.head_sizes = sorted({len(h) for h in self.heads})
         self.tail_sizes = sorted({len(t) for t in self.tails})
         self.known: dict[str, tuple[str, float, int] | None] = {}
+        self.filter = Filter(words, stems, self.fuzzy)
 
     def exact(self, word: str) -> tuple[str, float, int] | None:
         node, stem = self.root, None
@@ -96,7 +101,7 @@ class Lexicon:
         n = len(word)
 
         def walk(node: Node, depth: int, row: list[int]):
-            if node.word is not None and depth >= FUZZY_LENGTH and row[n] == 1:
+            if node.word in self.fuzzy and row[n] == 1:
                 found.append((-self.words[node.word], node.word))
             for c, after in node.next.items():
                 new = [row[0] + 1]
@@ -130,6 +135,115 @@ class Lexicon:
         return out
 
 
+@dataclass
+class Model:
+    """Words, stems, the words that match misspelled, and the weights of ``FEATURES``."""
+
+    words: dict[str, float]
+    stems: dict[str, float]
+    fuzzy: set[str]
+    weights: list[float]
+
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.words, self.stems, self.fuzzy)
+
+
+class Filter:
+    """Tells, on the bytes of many texts at once, which words may match: no match is missed, and few others pass.
+
+    A word that matches begins with an entry's stem or first half, or ends in
+    its second half; both are looked up by a hash of up to eight bytes.
+    """
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str]):
+        heads = [*stems, *(w[: len(w) // 2] if w in fuzzy else w for w in words)]
+        tails = [w[len(w) // 2 :] for w in fuzzy]
+        self.heads = self._tables([_folded(h.encode())[:8] for h in heads])
+        self.tails = self._tables([_folded(t.encode())[-8:] for t in tails])
+        self.longest = max((len(w.encode()) for w in words), default=0) + 4
+
+    @staticmethod
+    def _tables(parts: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        out = []
+        for size in sorted({len(p) for p in parts if p}):
+            table = np.zeros(1 << 16, dtype=bool)
+            codes = np.array([int.from_bytes(p, "little") for p in parts if len(p) == size], dtype=np.uint64)
+            table[_slot(codes)] = True
+            out.append((size, table))
+        return out
+
+    def texts(self, column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+        """Whether each text has a word that matches."""
+        out = np.zeros(len(column), dtype=bool)
+        for lo, hi, data, at in blocks(column):
+            low = _lowered(data)
+            starts, ends = _tokens(low, at)
+            if not len(starts):
+                continue
+            padded = np.zeros(len(low) + 16, dtype=np.uint8)
+            padded[8:-8] = _SIGN_BYTES[low]
+            eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+            maybe = np.zeros(len(starts), dtype=bool)
+            head, tail = eight[starts + 8], eight[ends]
+            for size, table in self.heads:
+                maybe |= table[_slot(head & np.uint64((1 << 8 * size) - 1))]
+            fits = ends - starts <= self.longest
+            for size, table in self.tails:
+                maybe |= table[_slot(tail >> np.uint64(64 - 8 * size))] & fits
+            raw = low.tobytes()
+            row = np.searchsorted(at, starts[maybe], side="right") - 1
+            for r, a, b in zip(row.tolist(), starts[maybe].tolist(), ends[maybe].tolist(), strict=True):
+                if not out[lo + r] and lexicon.match(raw[a:b].decode("utf-8", "replace")):
+                    out[lo + r] = True
+        return out
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
+_SIGN_BYTES = np.arange(256, dtype=np.uint8)
+for _sign, _letter in _SIGNS.items():
+    _SIGN_BYTES[_sign] = ord(_letter)
+_SOLID = np.zeros(256, dtype=bool)
+_SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _folded(raw: bytes) -> bytes:
+    return _SIGN_BYTES[np.frombuffer(raw, np.uint8)].tobytes()
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    low = _LOWER[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[capital] += 32
+    return low
+
+
+def _tokens(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of letters and digits; @ and $ belong to a run they stand inside of."""
+    solid = _SOLID[low]
+    # Latin-1 signs, and general and CJK punctuation.
+    signs = np.flatnonzero(low[:-1] == 0xC2)
+    solid[signs] = solid[signs + 1] = False
+    signs = np.flatnonzero(((low[:-2] == 0xE2) | (low[:-2] == 0xE3)) & (low[1:-1] == 0x80))
+    solid[signs] = solid[signs + 1] = solid[signs + 2] = False
+    inner = np.flatnonzero((low[1:-1] == 64) | (low[1:-1] == 36)) + 1
+    inner = inner[solid[inner - 1] & solid[inner + 1]]
+    solid[inner[~np.isin(inner, at) & ~np.isin(inner + 1, at)]] = True
+    begin = np.zeros(len(low) + 1, dtype=bool)
+    begin[:-1] = solid
+    begin[1:-1] &= ~solid[:-1]
+    stop = np.zeros(len(low) + 1, dtype=bool)
+    stop[1:] = solid
+    stop[1:-1] &= ~solid[1:]
+    # Texts stand next to each other: a run ends with its text.
+    for x in at[1:-1].tolist():
+        if 0 < x < len(low) and solid[x - 1] and solid[x]:
+            begin[x] = stop[x] = True
+    return np.flatnonzero(begin), np.flatnonzero(stop)
+
+
 # ---------------------------------------------------------------- features and score
 
 FEATURES = ("bias", "abuse", "strongest", "quoted", "density")
@@ -138,12 +252,7 @@ FUZZY_SHARE = 0.7  # of an entry's weight that a misspelling has
 
 def matches(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, int, bool, float]]:
     """(start, end, entry, distance, quoted, weight) of each match, in order; code points."""
-    lower = text.lower()
-    if len(lower) != len(text):  # a few letters grow when lowered; offsets must not
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    # Distinct words first: most texts have no match, and then positions are not needed.
-    if not any(lexicon.match(w) for w in set(_WORD.findall(lower))):
-        return []
+    lower = text.translate(_CAPITALS)
     out, recent = [], -(10**9)
     n, inside = 0, False
     marks = [m.start() for m in re.finditer(r"[\"“”„«»‹›\n]", text)]
@@ -194,6 +303,15 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
+def all_features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """Features of every text of a column; only texts with a match are looked at in full."""
+    out = np.zeros((len(column), len(FEATURES)))
+    out[:, 0] = 1.0
+    for i in np.flatnonzero(lexicon.filter.texts(column, lexicon)).tolist():
+        out[i] = features(column[i].as_py(), lexicon)
+    return out
+
+
 def _solved(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> np.ndarray:
     """Logistic regression by damped Newton steps."""
     w = np.zeros(x.shape[1])
@@ -224,8 +342,25 @@ def _training(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> Data
     return texts.join(chosen, "doc_id").select("text", "y")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_ROWS) -> tuple[dict[str, float], dict[str, float], list[float]]:
-    """(words, stems, weights): log-odds of lexicon entries and the weights of ``FEATURES``.
+def _cover(rows: list[set[str]], first: set[str], least: int, depth: int = 5) -> set[str]:
+    """``first`` and, one after the other, the entry in most rows that have fewer than ``depth`` yet, while it is in ``least`` of them."""
+    chosen = set(first)
+    open_ = [r for r in rows if len(r & chosen) < depth]
+    while open_:
+        counts: dict[str, int] = {}
+        for r in open_:
+            for e in r - chosen:
+                counts[e] = counts.get(e, 0) + 1
+        best = min(counts, key=lambda e: (-counts[e], not e.endswith("*"), e), default=None)
+        if best is None or counts[best] < least:
+            break
+        chosen.add(best)
+        open_ = [r for r in open_ if len(r & chosen) < depth]
+    return chosen
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_ROWS) -> Model:
+    """Log-odds of lexicon entries and the weights of ``FEATURES``.
 
     Words and stems are counted in tasks, over distinct words of each sampled
     text; those that label 1 has at least ``LEAST_ROWS`` times and far more
@@ -238,7 +373,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_ROWS)
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                found = {w for w in _WORD.findall(text.lower()) if len(w) <= 40}
+                found = {w for w in _WORD.findall(text.translate(_CAPITALS)) if len(w) <= 40}
                 found = {w + "$" for w in found} | {w[:k] for w in found for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
                 for w in found:
                     seen.setdefault(w, [0, 0])[1 if y else 0] += 1
@@ -252,50 +387,71 @@ def learn(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_ROWS)
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         mean = (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.1
-        return {}, {}, [math.log(mean / (1 - mean)), 0.0, 0.0, 0.0, 0.0]
+        return Model({}, {}, set(), [math.log(mean / (1 - mean)), 0.0, 0.0, 0.0, 0.0])
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     counts = sample.mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    least = max(2, min(LEAST_ROWS, n1 // 20))
+    # A hundredth of the rows of label 1, but a few at least.
+    least = max(2, min(LEAST_ROWS, n1 // 20), n1 // 100)
     strong = counts.where(F.col("n1") >= least).withColumn("odds", odds).where("odds > 2.5")
     # What is in no clean row is sure; rarer entries must be purer.
     strong = strong.where((F.col("n0") == 0) | (F.col("n1") * n0 > 30 * F.col("n0") * n1))
     top = strong.orderBy(F.col("n1").desc(), F.col("odds").desc(), "w").limit(LEXICON_ENTRIES).collect()
-    words = {r["w"][:-1]: r["odds"] for r in top if r["w"].endswith("$")}
+    whole = {r["w"][:-1]: r for r in top if r["w"].endswith("$")}
+    leading: dict[str, int] = {}
+    for w, r in whole.items():
+        for k in range(STEM[0], len(w) + 1):
+            leading[w[:k]] = max(leading.get(w[:k], 0), r["n1"])
     stems: dict[str, float] = {}
     for r in sorted((r for r in top if not r["w"].endswith("$")), key=lambda r: (len(r["w"]), r["w"])):
-        # The shortest stem stands for those that go on from it. A stem has several words.
-        if not any(r["w"][:k] in stems for k in range(STEM[0], len(r["w"]))) and r["n1"] >= 2 * least:
+        # A stem stands for a family: no single word has most of its rows. The shortest stands for those that go on from it.
+        family = r["n1"] >= 1.5 * leading.get(r["w"], 0)
+        if family and not any(r["w"][:k] in stems for k in range(STEM[0], len(r["w"]))):
             stems[r["w"]] = r["odds"]
-    words = {w: o for w, o in words.items() if not any(w[:k] in stems for k in range(STEM[0], len(w) + 1)) or len(w) <= STEM[1]}
+    words = {w: r["odds"] for w, r in whole.items() if not any(w[:k] in stems for k in range(STEM[0], len(w) + 1))}
+    common = {w for w in words if whole[w]["n1"] * 20 >= n1}
+
+    def present(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                found = set(_WORD.findall(text.translate(_CAPITALS)))
+                own = {w for w in found if w in words}
+                own |= {w[:k] + "*" for w in found for k in range(STEM[0], min(STEM[1], len(w)) + 1) if w[:k] in stems}
+                rows.append({"e": sorted(own)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("e", pa.list_(pa.string()))]))
+
+    # Of entries that stand in the same rows (words of a text that was copied often), only those that explain further rows stay.
+    lists = {tuple(r["e"]) for r in sample.where("y = 1").mapInArrow(present, "e array<string>").collect()}
+    chosen = _cover([set(x) for x in sorted(lists)], common, max(2, len(lists) // 200))
+    words = {w: o for w, o in words.items() if w in chosen}
+    stems = {w: o for w, o in stems.items() if w + "*" in chosen}
 
     def measured(batches):
-        lexicon = Lexicon(words, stems)
+        lexicon = Lexicon(words, stems, common)
         for batch in batches:
-            texts, ys = batch.column("text").to_pylist(), batch.column("y").to_pylist()
-            yield pa.RecordBatch.from_pydict({"x": [features(t, lexicon) for t in texts], "y": ys}, schema=pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64())]))
+            x = all_features(batch.column("text"), lexicon).tolist()
+            yield pa.RecordBatch.from_pydict({"x": x, "y": batch.column("y").to_pylist()}, schema=pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64())]))
 
     rows = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInArrow(measured, "x array<double>, y long").collect())
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-    return words, stems, [float(v) for v in _solved(x, y)]
+    return Model(words, stems, common, [float(v) for v in _solved(x, y)])
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], dict[str, float], list[float]], spans: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """(doc_id, score and, if asked for, spans) of every row; a null text is empty.
 
     ``spans`` reads ``entry:start:end:distance:quoted`` joined by commas.
     """
-    words, stems, weights = model
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    w = np.array(weights)
+    w = np.array(model.weights)
 
     def run(batches):
-        lexicon = Lexicon(words, stems)
+        lexicon = model.lexicon()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            x = np.array([features(t, lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
+            x = all_features(batch.column("text"), lexicon)
             out = {"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))}
             if spans:
-                out["spans"] = pa.array([",".join(f"{e}:{a}:{b}:{d}:{int(q)}" for a, b, e, d, q, _ in matches(t, lexicon)) for t in texts], pa.string())
+                out["spans"] = pa.array([",".join(f"{e}:{a}:{b}:{d}:{int(q)}" for a, b, e, d, q, _ in matches(t, lexicon)) for t in batch.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
     return texts.mapInArrow(run, "doc_id long, score double" + ", spans string" * spans)
@@ -315,14 +471,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, spans: bo
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text among their columns) that score below the threshold, as they are."""
-    words, stems, weights = learn(docs, labels)
-    w = np.array(weights)
+    model = learn(docs, labels)
+    w = np.array(model.weights)
 
     def run(batches):
-        lexicon = Lexicon(words, stems)
+        lexicon = model.lexicon()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            x = np.array([features(t or "", lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
+            x = all_features(batch.column(batch.schema.get_field_index("text")), lexicon)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,6 +41,17 @@ def test_trie_and_automaton_find_what_plain_distances_find():
             assert got == ((min(near)[1], -min(near)[0], 1) if near else None)
 
 
+def test_filter_misses_no_match():
+    rng = random.Random(4)
+    lexicon = tox.Lexicon({"moron": 5.0, "éclair": 3.0, "bad": 2.0, "worthless": 4.0, "ñandú": 1.0}, {"lowei": 4.0, "étéd": 2.0})
+    parts = ["moron", "Mor0n", "worthles", "WORTHLESSS", "étédu", "ÉTÉDa", "bad", "b@d", "loweix", "éclairs", "ñandù", "the", "“", "«", "_", "$", "@", " ", "\n", "…", "、", "a1", "...", "x"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(3000)] + ["", None]
+    got = lexicon.filter.texts(tox.pa.array(texts), lexicon)
+    for t, g in zip(texts, got.tolist(), strict=True):
+        assert g or not tox.matches(t or "", lexicon), t
+    assert 100 < sum(got) < 2900
+
+
 def test_signs_and_context():
     lexicon = tox.Lexicon({"moron": 5.0, "stupid": 5.0}, {"vequ": 4.0})
     found = [x[2:5] for x in tox.matches('You mor0n, you stuppid one. "A moron," he said. vequxyz İstupid', lexicon)]
