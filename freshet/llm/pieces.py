@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from freshet.llm.kernel import blocks, mix
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 VARIANTS = 8
 MATRIX_WIDTH = 32
 NONE = np.int32(2**31 - 1)
