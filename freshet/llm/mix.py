@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 PERIOD = 4096
 BLOCK_ROWS = 16
-ROWS_PER_WINDOW = 100_000
+ROWS_PER_WINDOW = 20_000
 
 
 def quotas(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -106,7 +106,7 @@ def interleave(
 
     most = docs.groupBy(F.col(f"`{source}`").alias("s")).count().agg(F.max("count")).first()[0] or 0
     # Windows small enough for the largest source; the order does not depend on their number.
-    digits = 1 + max(0, math.ceil(math.log(max(1.0, most / ROWS_PER_WINDOW), 16)))
+    digits = 2 + max(0, math.ceil(math.log(max(1.0, most / 256 / ROWS_PER_WINDOW), 16)))
     name, own_id = F.col(f"`{source}`").cast("string"), F.col(f"`{row_id}`")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(own_id.cast("string"), F.lit(""))).cast("binary"))
     own = docs.select(F.struct(*keep).alias("_row"), name.isNull().alias("_n"), F.coalesce(name, F.lit("")).alias("_s"), key.alias("_k"), own_id.alias("_id"))
