@@ -6,7 +6,7 @@ at its end gets a hash. Over all texts the first occurrence of each hash (by
 id, then place) stays; sentences that any later occurrence covers are removed.
 
 Runs are reduced to counts before they move, so a passage that a third of all
-texts hold is one row a task; the join back lets Spark split such a key.
+texts hold is one row a task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.kernel import _LOWER, _power, blocks, mix, span_hashes, words
+from freshet.session import cut_lineage
 
 RUN_SENTENCES = 3
 RUN_WORDS = 12
@@ -86,11 +87,27 @@ def spans(docs: DataFrame, least: tuple[int, int] = (RUN_SENTENCES, RUN_WORDS))
     return rows.mapInArrow(run, "h long, doc_id long, s int, e int")
 
 
+HOT_SHARE = 4096
+
+
 def repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, s, e) of the occurrences after the first of each hash."""
+    """(doc_id, s, e) of the occurrences after the first of each hash.
+
+    At most ``HOT_SHARE`` hashes can each have more than that share of all
+    rows. They are sent to the tasks, so the rows of a passage that very many
+    texts hold stay where they are; the others meet their first occurrence in
+    a join.
+    """
     firsts = found.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("h", F.col("first.doc_id").alias("d0"), F.col("first.s").alias("s0"))
-    return found.join(firsts, "h").where("doc_id <> d0 OR s <> s0").select("doc_id", "s", "e")
+    firsts = cut_lineage(firsts.select("h", F.col("first.doc_id").alias("d0"), F.col("first.s").alias("s0"), "n"))
+    many = (firsts.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = firsts.where(F.col("n") > many).select("h", F.col("d0").alias("hot_d0"), F.col("s0").alias("hot_s0"))
+    rows = found.join(F.broadcast(hot), "h", "left")
+    # Rows of hot hashes go on under keys of their own, evenly dealt, and their match is not used.
+    rows = rows.withColumn("k", F.when(F.col("hot_d0").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "s", "e")))
+    rows = rows.drop("h").join(firsts.where(F.col("n") <= many).select(F.col("h").alias("k"), "d0", "s0"), "k", "left")
+    rows = rows.withColumns({"d0": F.coalesce("hot_d0", "d0"), "s0": F.coalesce("hot_s0", "s0")})
+    return rows.where("d0 IS NOT NULL AND (doc_id <> d0 OR s <> s0)").select("doc_id", "s", "e")
 
 
 def without_repeats(docs: DataFrame, least: tuple[int, int] = (RUN_SENTENCES, RUN_WORDS)) -> DataFrame:
