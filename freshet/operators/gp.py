@@ -27,8 +27,10 @@ from freshet.operators.stats import inducing_grid
 from freshet.session import cut_lineage
 
 JITTER = 1e-6
-# Search box of (variance, lengthscale, noise), as powers of ten.
+# Where random starts and evolution draw (variance, lengthscale, noise), as powers of ten. Other searches are free.
 LOG_BOUNDS = ((-1.0, 1.0), (-1.0, 1.0), (-3.0, 0.0))
+# Beyond these powers of ten a parameter is no longer a number to compute with.
+LOG_REACH = 60.0
 # Largest model a prediction task may receive.
 MODEL_BYTES = 512 << 20
 
@@ -138,16 +140,17 @@ def loss_of(kuu: np.ndarray, s: Sums, variance: float, lengthscale: float, noise
     return float(value) if math.isfinite(value) else math.inf
 
 
-def _descend(f, start: Sequence[float], bounds, step: float = 0.5, rounds: int = 60) -> tuple[list[float], float]:
-    """Pattern search inside a box for two smooth parameters."""
+def _descend(f, start: Sequence[float], bounds=None, step: float = 0.5, rounds: int = 200) -> tuple[list[float], float]:
+    """Pattern search for two smooth parameters, free or inside a box."""
+    bounds = bounds or [(-LOG_REACH, LOG_REACH)] * len(start)
     at, best = list(start), f(*start)
     for _ in range(rounds):
         moved = False
         for i in range(len(at)):
             for direction in (step, -step):
                 trial = list(at)
-                trial[i] = min(max(trial[i] + direction, bounds[i][0]), bounds[i][1])
-                value = f(*trial)
+                trial[i] += direction
+                value = f(*trial) if bounds[i][0] <= trial[i] <= bounds[i][1] else math.inf
                 if value < best:
                     at, best, moved = trial, value, True
                     break
@@ -212,8 +215,8 @@ def _assemble(group: pd.DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, np.n
     return full[:-1, :m], full[:-1, m:], full[-1, m:], int(round(full[-1, 0]))
 
 
-def score_pass(sums: DataFrame, kernel: str, candidates: Sequence[Candidate], tune: bool = True) -> DataFrame:
-    """Loss per candidate and mode; ``tune`` also finds the best variance and noise of each."""
+def score_pass(sums: DataFrame, kernel: str, candidates: Sequence[Candidate], tune: bool = True, bounds=None) -> DataFrame:
+    """Loss per candidate and mode; ``tune`` also finds the best variance and noise of each, within ``bounds`` if given."""
     by_slot = {c.slot: c for c in candidates}
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +234,7 @@ def score_pass(sums: DataFrame, kernel: str, candidates: Sequence[Candidate], tu
 
             at, best = [cand.log_variance, cand.log_noise], f(cand.log_variance, cand.log_noise)
             if tune:
-                at, best = _descend(f, at, (LOG_BOUNDS[0], LOG_BOUNDS[2]))
+                at, best = _descend(f, at, bounds)
             out.append((cand.slot, mode, at[0], at[1], best))
         return pd.DataFrame(out, columns=["slot", "mode", "log_variance", "log_noise", "loss"])
 
@@ -257,9 +260,9 @@ class Choice:
     z: np.ndarray
 
 
-def _evaluate(rows: DataFrame, kernel: str, candidates: Sequence[Candidate], tune: bool) -> dict[int, Choice]:
+def _evaluate(rows: DataFrame, kernel: str, candidates: Sequence[Candidate], tune: bool, bounds=None) -> dict[int, Choice]:
     by_slot = {c.slot: c for c in candidates}
-    scores = score_pass(gram_pass(rows, kernel, candidates), kernel, candidates, tune)
+    scores = score_pass(gram_pass(rows, kernel, candidates), kernel, candidates, tune, bounds)
     return {
         r["mode"]: Choice(
             r["mode"], r["log_variance"], math.log10(by_slot[r["slot"]].lengthscale), r["log_noise"], r["loss"], by_slot[r["slot"]].z
@@ -276,24 +279,215 @@ def _better(old: dict[int, Choice], new: dict[int, Choice]) -> dict[int, Choice]
 
 
 def search_profile(rows, kernel, z, initial: float, points: int = 9, refine: int = 2, seed: int = 0) -> dict[int, Choice]:
-    """Lengthscale grid with the best variance and noise at each point, then finer grids around each mode's best."""
+    """Lengthscale grid with the best variance and noise at each point, then finer grids around each mode's best.
+
+    The grid grows by half its width on a side for as long as a mode is best at its end there.
+    """
     lo, hi = LOG_BOUNDS[1]
-    grid = sorted({*np.linspace(lo, hi, points).tolist(), min(max(math.log10(max(initial, 1e-6)), lo), hi)})
-    best = _evaluate(rows, kernel, [Candidate(i, 10**g, z) for i, g in enumerate(grid)], True)
     gap = (hi - lo) / (points - 1)
-    for _ in range(refine):
+    grid = sorted({*np.linspace(lo, hi, points).tolist(), math.log10(max(initial, 1e-6))})
+    best = _evaluate(rows, kernel, [Candidate(i, 10**g, z) for i, g in enumerate(grid)], True)
+    ends = dict.fromkeys(best, (grid[0], grid[-1]))
+    while True:
         candidates: list[Candidate] = []
+        for mode, choice in best.items():
+            low, high = ends[mode]
+            at = choice.log_lengthscale
+            side = -1 if at - low < gap / 2 else 1 if high - at < gap / 2 else 0
+            if not side or abs(at) > LOG_REACH / 2:
+                continue
+            more = [at + side * gap * i for i in range(1, points // 2 + 1)]
+            ends[mode] = (min(low, *more), max(high, *more))
+            for g in more:
+                candidates.append(Candidate(len(candidates), 10**g, z, (mode,), choice.log_variance, choice.log_noise))
+        if not candidates:
+            break
+        best = _better(best, _evaluate(rows, kernel, candidates, True))
+    for _ in range(refine):
+        candidates = []
         for mode, choice in best.items():
             for shift in (-0.5, -0.25, 0.25, 0.5):
-                at = min(max(choice.log_lengthscale + shift * gap, lo), hi)
                 candidates.append(
-                    Candidate(len(candidates), 10**at, z, (mode,), choice.log_variance, choice.log_noise)
+                    Candidate(len(candidates), 10 ** (choice.log_lengthscale + shift * gap), z, (mode,), choice.log_variance, choice.log_noise)
                 )
         best = _better(best, _evaluate(rows, kernel, candidates, True))
         gap /= 4
     return best
 
 
+# --- gradients ------------------------------------------------------------------------------------
+
+
+def _slope(kernel: str, r: np.ndarray) -> np.ndarray:
+    """Derivative of the unit kernel by the scaled distance, over that distance; 0 where points coincide."""
+    if kernel == "RBF":
+        return -np.exp(-0.5 * r * r)
+    if kernel == "Matern32":
+        return -3 * np.exp(-math.sqrt(3) * r)
+    if kernel == "Matern52":
+        return -5 / 3 * (1 + math.sqrt(5) * r) * np.exp(-math.sqrt(5) * r)
+    rate = 1.0 if kernel == "Matern12" else 0.5
+    safe = np.maximum(r, 1e-12)
+    return np.where(r > 1e-12, -rate * np.exp(-rate * safe) / safe, 0.0)
+
+
+def _scaled_distance(a: np.ndarray, b: np.ndarray, lengthscale: float) -> np.ndarray:
+    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+    return np.sqrt(np.maximum(d2, 0.0)) / lengthscale
+
+
+@dataclass
+class Point:
+    """Parameters of one mode during a gradient search: natural logarithms and inducing points."""
+
+    logs: np.ndarray  # variance, lengthscale, noise
+    z: np.ndarray
+
+
+@dataclass
+class Slopes:
+    """Loss at a point, its derivatives as far as the Gram sums give them, and what the rows still have to add."""
+
+    loss: float
+    logs: np.ndarray
+    z: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+
+
+def _slopes(kernel: str, point: Point, s: Sums) -> Slopes:
+    """Derivatives of the loss that do not need the rows.
+
+    ``g`` and ``h`` are such that the derivative by the kernel between the
+    inducing points and a row ``(x, y)`` is ``g k + h y``.
+    """
+    v, ls, e = np.exp(point.logs)
+    z, n = point.z, s.n
+    unit = correlation(kernel, z, z, ls)
+    kuu = v * unit + JITTER * np.eye(len(z))
+    phi, b = v * v * s.phi, v * s.b
+    inv = np.linalg.inv(kuu)
+    a_inv = np.linalg.inv(kuu + phi / e)
+    alpha = a_inv @ b
+    d_phi = -a_inv / (2 * e) - np.outer(alpha, alpha) / (2 * e**3) + inv / (2 * e)
+    d_kuu = 0.5 * inv - 0.5 * a_inv - np.outer(alpha, alpha) / (2 * e**2) - inv @ phi @ inv / (2 * e)
+    g, h = 2 * d_phi, alpha / e**2
+    d_e = (
+        -n / (2 * e) + np.sum(a_inv * phi) / (2 * e**2) + s.yy / (2 * e**2) - b @ alpha / e**3
+        + alpha @ phi @ alpha / (2 * e**4) + n * v / (2 * e**2) - np.sum(inv * phi) / (2 * e**2)
+    )
+    d_v = -n / (2 * e) + np.sum(d_kuu * unit) + (np.sum(g * phi) + h @ b) / v
+    r = _scaled_distance(z, z, ls)
+    w = d_kuu * v * _slope(kernel, r)
+    np.fill_diagonal(w, 0.0)
+    d_z = 2 * (w.sum(1)[:, None] * z - w @ z) / ls**2
+    d_ls = -np.sum(w * r * r) / ls
+    bound = np.array([d_v * v, d_ls * ls, d_e * e])
+    prior = -(1 + point.logs)
+    return Slopes(loss_of(unit, s, v, ls, e), -(bound + prior), -d_z, g, h)
+
+
+def row_slopes(rows: DataFrame, kernel: str, points: dict[int, Point], slopes: dict[int, Slopes]) -> dict[int, np.ndarray]:
+    """What the rows add to the derivatives of every mode, in one pass: inducing points, then the lengthscale."""
+    width = next(iter(points.values())).z.shape[1]
+    work = [(m, *np.exp(points[m].logs[:2]), points[m].z, slopes[m].g, slopes[m].h) for m in sorted(points)]
+
+    def accumulate(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.array(batch["x"].tolist(), dtype=np.float64)
+            y = np.array(batch["y"].tolist(), dtype=np.float64)
+            for mode, v, ls, z, g, h in work:
+                r = _scaled_distance(z, x, ls)
+                w = (g @ (v * correlation(kernel, z, x, ls)) + np.outer(h, y[:, mode])) * v * _slope(kernel, r)
+                sums = np.zeros((len(z) + 1, width))
+                sums[:-1] = w.sum(1)[:, None] * z - w @ x
+                sums[-1, 0] = np.sum(w * r * r)
+                total[mode] = total[mode] + sums if mode in total else sums
+        return total
+
+    found = gram.fetch(gram.partial_sums(rows.select("x", "y"), accumulate), width)
+    out = {}
+    for m, sums in found.items():
+        ls = math.exp(points[m].logs[1])
+        d = np.zeros((len(sums), width))
+        d[:-1], d[-1, 0] = -sums[:-1] / ls**2, sums[-1, 0]
+        out[m] = d
+    return out
+
+
+def losses_and_gradients(rows: DataFrame, kernel: str, points: dict[int, Point]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """(loss, derivatives by the log parameters, by the inducing points) of every mode, in two passes over the rows."""
+    candidates = [Candidate(m, math.exp(p.logs[1]), p.z, (m,)) for m, p in sorted(points.items())]
+    n_modes = len(rows.select("y").first()["y"])
+    width = len(candidates[0].z) + n_modes
+    slopes = {}
+    for m, sums in gram.fetch(gram_pass(rows, kernel, candidates), width).items():
+        k = len(points[m].z)
+        slopes[m] = _slopes(kernel, points[m], Sums(sums[:-1, :k], sums[:-1, k + m], float(sums[-1, k + m]), int(round(sums[-1, 0]))))
+    added = row_slopes(rows, kernel, points, slopes)
+    return {m: (s.loss, s.logs + np.array([0.0, added[m][-1, 0], 0.0]), s.z + added[m][:-1]) for m, s in slopes.items()}
+
+
+def _climb(rows, kernel, points: dict[int, Point], max_iter: int, move_z: bool, move_logs: bool, rule: str, rate: float) -> dict[int, tuple[float, Point]]:
+    """Adam or Adadelta steps for all modes at once; the best point of each mode is kept.
+
+    A mode that has not gained a hundred-thousandth for more than 50 steps stays where it is.
+    """
+    now = {m: Point(p.logs.copy(), p.z.copy()) for m, p in points.items()}
+    best: dict[int, tuple[float, Point]] = {}
+    mark, stale = dict.fromkeys(now, math.inf), dict.fromkeys(now, 0)
+    first = {m: 0.0 for m in now}
+    second = {m: 0.0 for m in now}
+    for step in range(1, max_iter + 2):
+        live = {m: p for m, p in now.items() if stale[m] <= 50}
+        if not live:
+            break
+        for m, (loss, d_logs, d_z) in losses_and_gradients(rows, kernel, live).items():
+            if m not in best or loss < best[m][0]:
+                best[m] = (loss, Point(now[m].logs.copy(), now[m].z.copy()))
+            gained = (mark[m] - loss) / max(abs(loss), 1e-12) > 10e-6
+            mark[m], stale[m] = (loss, 0) if gained else (mark[m], stale[m] + 1)
+            grad = np.concatenate((d_logs * move_logs, (d_z * move_z).ravel()))
+            if rule == "adam":
+                first[m] = 0.9 * first[m] + 0.1 * grad
+                second[m] = 0.999 * second[m] + 0.001 * grad**2
+                move = -rate * first[m] / (1 - 0.9**step) / (np.sqrt(second[m] / (1 - 0.999**step)) + 1e-7)
+            else:
+                second[m] = 0.95 * second[m] + 0.05 * grad**2
+                unit = np.sqrt(first[m] + 1e-7) / np.sqrt(second[m] + 1e-7) * grad
+                first[m] = 0.95 * first[m] + 0.05 * unit**2
+                move = -rate * unit
+            now[m] = Point(now[m].logs + move[:3], now[m].z + move[3:].reshape(now[m].z.shape))
+    return best
+
+
+def search_gradient(
+    rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0, stages: Sequence[str] = ("z", "logs"), rule: str = "adam", rate: float = 0.001
+) -> dict[int, Choice]:
+    """Gradient steps from unit variance and noise: each stage moves the inducing points (z), the parameters (logs) or both."""
+    n_modes = len(rows.select("y").first()["y"])
+    points = {m: Point(np.array([0.0, math.log(max(initial, 1e-6)), 0.0]), z.copy()) for m in range(n_modes)}
+    found: dict[int, tuple[float, Point]] = {}
+    for stage in stages:
+        found = _climb(rows, kernel, points, max_iter, stage != "logs", stage != "z", rule, rate)
+        points = {m: p for m, (_, p) in found.items()}
+    ten = math.log(10)
+    return {m: Choice(m, p.logs[0] / ten, p.logs[1] / ten, p.logs[2] / ten, loss, p.z) for m, (loss, p) in found.items()}
+
+
+def search_adam(rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0, rate: float = 0.001) -> dict[int, Choice]:
+    """Adam on all parameters together."""
+    return search_gradient(rows, kernel, z, initial, max_iter, seed, ("both",), "adam", rate)
+
+
+def search_adadelta(rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0, rate: float = 0.001) -> dict[int, Choice]:
+    """Adadelta on all parameters together."""
+    return search_gradient(rows, kernel, z, initial, max_iter, seed, ("both",), "adadelta", rate)
+
+
 def search_random(rows, kernel, z, initial: float, n_starts: int = 40, tune: bool = True, seed: int = 1) -> dict[int, Choice]:
     """Random starts over hyper-parameters and inducing points, all in one pass; the lowest loss wins."""
     rng = np.random.default_rng(seed)
@@ -305,7 +499,8 @@ def search_random(rows, kernel, z, initial: float, n_starts: int = 40, tune: boo
     for slot in range(n_starts):
         v, ls, e = (rng.uniform(*b) for b in LOG_BOUNDS)
         candidates.append(Candidate(slot, 10**ls, rng.uniform(lo, hi, size=z.shape), None, v, e))
-    return _evaluate(rows, kernel, candidates, tune)
+    # Starts are tuned within the range they are drawn from.
+    return _evaluate(rows, kernel, candidates, tune, (LOG_BOUNDS[0], LOG_BOUNDS[2]))
 
 
 def search_evolution(
@@ -358,7 +553,14 @@ def search_evolution(
     return out
 
 
-SEARCHES = {"profile": search_profile, "random": search_random, "evolution": search_evolution}
+SEARCHES = {
+    "profile": search_profile,
+    "random": search_random,
+    "evolution": search_evolution,
+    "two-stage": search_gradient,
+    "adam": search_adam,
+    "adadelta": search_adadelta,
+}
 
 
 # --- fit, predict, persist ------------------------------------------------------------------------
