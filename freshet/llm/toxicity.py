@@ -1,10 +1,12 @@
 """Toxicity from a learned lexicon, matched through misspellings, with the context deciding.
 
-The lexicon is a trie. Every word is walked through it together with its
-Levenshtein automaton (one row of the edit table at a time, cut off beyond the
-allowed distance), which finds the entries within one edit without trying each.
-An entry is a whole word or, where many words of the training rows share a
-stem, a prefix; prefixes match exactly only.
+The lexicon is a trie. Every distinct word is walked through it together with
+its Levenshtein automaton for one edit (along the word's own path, each edit at
+each letter, what follows exactly), which finds the entries within one edit
+without trying each. An entry is a whole word or, where many words of the
+training rows share a stem, a prefix, which may have the edit as well; the
+words of its family are entries too, with the stem's weight. Entries of fewer
+than ``FUZZY_LENGTH`` letters match exactly only.
 
 A match inside quotation marks, or near a word of reporting, counts as quoted:
 its weight goes to a feature of its own. The score is a logistic function of
@@ -16,6 +18,7 @@ are not held out (``FIT_ROWS``); the scoring covers every word of every text.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, field
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.kernel import _LOWER, blocks
+from freshet.llm.kernel import _LOWER, blocks, span_hashes
 
 FIT_ROWS = (6_000, 12_000)  # labelled rows of label 1 and 0 at most, about
 LEXICON_ENTRIES = 4_000
@@ -57,14 +60,21 @@ class Node:
     next: dict[str, Node] = field(default_factory=dict)
     word: str | None = None
     stem: str | None = None
+    # Grandchildren by their letter, with the letter between; children where an entry ends.
+    skip: dict[str, list[tuple[str, Node]]] = field(default_factory=dict)
+    ends: list[tuple[str, Node]] = field(default_factory=list)
 
 
 class Lexicon:
-    """Entries with weights: ``words`` within one edit (if ``fuzzy`` has them), ``stems`` as exact prefixes."""
+    """Entries with weights: ``words`` within one edit and ``stems`` as prefixes.
+
+    ``fuzzy`` names the entries that match within one edit, a stem with ``*``
+    behind it; if it is not given, all words do and no stem.
+    """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str] | None = None):
         self.words, self.stems = words, stems
-        self.fuzzy = {w for w in (words if fuzzy is None else fuzzy) if len(w) >= FUZZY_LENGTH}
+        self.fuzzy = {w for w in (words if fuzzy is None else fuzzy) if len(w.rstrip("*")) >= FUZZY_LENGTH}
         self.root = Node()
         for entries, name in ((words, "word"), (stems, "stem")):
             for entry in sorted(entries):
@@ -72,15 +82,16 @@ class Lexicon:
                 for c in entry:
                     node = node.next.setdefault(c, Node())
                 setattr(node, name, entry)
-        lengths = [len(w) for w in self.fuzzy]
-        self.span = (min(lengths) - 1, max(lengths) + 1) if lengths else (1, 0)
-        # One edit leaves the first or the second half of an entry as it is.
-        self.heads = {w[: len(w) // 2] for w in self.fuzzy}
-        self.tails = {w[len(w) // 2 :] for w in self.fuzzy}
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+        nodes = [self.root]
+        for node in nodes:
+            for c, after in node.next.items():
+                for x, far in after.next.items():
+                    node.skip.setdefault(x, []).append((c, far))
+                if after.word in self.fuzzy or f"{after.stem}*" in self.fuzzy:
+                    node.ends.append((c, after))
+                nodes.append(after)
         self.known: dict[str, tuple[str, float, int] | None] = {}
-        self.filter = Filter(words, stems, self.fuzzy)
+        self.filter = Filter()
 
     def exact(self, word: str) -> tuple[str, float, int] | None:
         node, stem = self.root, None
@@ -100,17 +111,38 @@ class Lexicon:
         found: list[tuple[float, str]] = []
         n = len(word)
 
-        def walk(node: Node, depth: int, row: list[int]):
-            if node.word in self.fuzzy and row[n] == 1:
+        def follow(node: Node, i: int):
+            """The state after the edit: the rest must follow the trie."""
+            while True:
+                if node.stem is not None and node.stem + "*" in self.fuzzy:
+                    found.append((-self.stems[node.stem], node.stem + "*"))
+                if i == n:
+                    break
+                node = node.next.get(word[i])
+                if node is None:
+                    return
+                i += 1
+            if node.word in self.fuzzy:
                 found.append((-self.words[node.word], node.word))
-            for c, after in node.next.items():
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    new.append(min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c)))
-                if min(new) <= 1:
-                    walk(after, depth + 1, new)
 
-        walk(self.root, 0, list(range(n + 1)))
+        node = self.root
+        for i in range(n + 1):
+            here, then = word[i : i + 1], word[i + 1 : i + 2]
+            # A letter too many, one that is missing, another one.
+            if here:
+                follow(node, i + 1)
+            for _, far in node.skip.get(here, ()):
+                follow(far, i + 1)
+            for c, far in node.skip.get(then, ()):
+                if c != here:
+                    follow(far, i + 2)
+            for c, after in node.ends:
+                follow(after, i)
+                if here and c != here:
+                    follow(after, i + 1)
+            node = node.next.get(here)
+            if node is None:
+                break
         if not found:
             return None
         weight, entry = min(found)
@@ -125,9 +157,7 @@ class Lexicon:
         if out is None and plain != word:
             out = self.exact(plain)
             out = out and (out[0], out[1], 1)
-        if out is None and self.span[0] <= len(plain) <= self.span[1] and (
-            any(plain[:k] in self.heads for k in self.head_sizes) or any(plain[len(plain) - k :] in self.tails for k in self.tail_sizes)
-        ):
+        if out is None and self.fuzzy and len(plain) >= FUZZY_LENGTH - 1:
             out = self.near(plain)
         if len(self.known) >= 200_000:
             self.known.clear()
@@ -137,7 +167,7 @@ class Lexicon:
 
 @dataclass
 class Model:
-    """Words, stems, the words that match misspelled, and the weights of ``FEATURES``."""
+    """Words, stems, the entries that match misspelled, and the weights of ``FEATURES``."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -149,68 +179,44 @@ class Model:
 
 
 class Filter:
-    """Tells, on the bytes of many texts at once, which words may match: no match is missed, and few others pass.
+    """Tells of many texts at once which have a word that matches: each distinct word is looked up once while it is remembered."""
 
-    A word that matches begins with an entry's stem or first half, or ends in
-    its second half; both are looked up by a hash of up to eight bytes.
-    """
-
-    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str]):
-        heads = [*stems, *(w[: len(w) // 2] if w in fuzzy else w for w in words)]
-        tails = [w[len(w) // 2 :] for w in fuzzy]
-        self.heads = self._tables([_folded(h.encode())[:8] for h in heads])
-        self.tails = self._tables([_folded(t.encode())[-8:] for t in tails])
-        self.longest = max((len(w.encode()) for w in words), default=0) + 4
-
-    @staticmethod
-    def _tables(parts: list[bytes]) -> list[tuple[int, np.ndarray]]:
-        out = []
-        for size in sorted({len(p) for p in parts if p}):
-            table = np.zeros(1 << 16, dtype=bool)
-            codes = np.array([int.from_bytes(p, "little") for p in parts if len(p) == size], dtype=np.uint64)
-            table[_slot(codes)] = True
-            out.append((size, table))
-        return out
+    def __init__(self):
+        self.known: dict[int, bool] = {}
 
     def texts(self, column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         """Whether each text has a word that matches."""
         out = np.zeros(len(column), dtype=bool)
-        for lo, hi, data, at in blocks(column):
+        for lo, _, data, at in blocks(column):
             low = _lowered(data)
             starts, ends = _tokens(low, at)
             if not len(starts):
                 continue
-            padded = np.zeros(len(low) + 16, dtype=np.uint8)
-            padded[8:-8] = _SIGN_BYTES[low]
-            eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
-            maybe = np.zeros(len(starts), dtype=bool)
-            head, tail = eight[starts + 8], eight[ends]
-            for size, table in self.heads:
-                maybe |= table[_slot(head & np.uint64((1 << 8 * size) - 1))]
-            fits = ends - starts <= self.longest
-            for size, table in self.tails:
-                maybe |= table[_slot(tail >> np.uint64(64 - 8 * size))] & fits
+            words, first, which = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+            hit = [self.known.get(h) for h in words.tolist()]
             raw = low.tobytes()
-            row = np.searchsorted(at, starts[maybe], side="right") - 1
-            for r, a, b in zip(row.tolist(), starts[maybe].tolist(), ends[maybe].tolist(), strict=True):
-                if not out[lo + r] and lexicon.match(raw[a:b].decode("utf-8", "replace")):
-                    out[lo + r] = True
+            for k, h in enumerate(words.tolist()):
+                if hit[k] is None:
+                    word = raw[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace")
+                    hit[k] = self.known[h] = lexicon.match(word) is not None
+            if len(self.known) >= 500_000:
+                self.known.clear()
+            own = starts[np.array(hit, dtype=bool)[which]]
+            out[lo + np.searchsorted(at, own, side="right") - 1] = True
         return out
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-
-
-_SIGN_BYTES = np.arange(256, dtype=np.uint8)
-for _sign, _letter in _SIGNS.items():
-    _SIGN_BYTES[_sign] = ord(_letter)
 _SOLID = np.zeros(256, dtype=bool)
-_SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SOLID[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
-def _folded(raw: bytes) -> bytes:
-    return _SIGN_BYTES[np.frombuffer(raw, np.uint8)].tobytes()
+@functools.lru_cache(maxsize=1)
+def _word_points() -> np.ndarray:
+    """Of each code point, whether it is a letter or digit of ``_WORD``."""
+    out = np.zeros(0x110000, dtype=bool)
+    for m in re.finditer(r"[^\W_]+", "".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -221,13 +227,17 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 def _tokens(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of letters and digits; @ and $ belong to a run they stand inside of."""
+    """Starts and ends of the words that ``_WORD`` finds in each text."""
     solid = _SOLID[low]
-    # Latin-1 signs, and general and CJK punctuation.
-    signs = np.flatnonzero(low[:-1] == 0xC2)
-    solid[signs] = solid[signs + 1] = False
-    signs = np.flatnonzero(((low[:-2] == 0xE2) | (low[:-2] == 0xE3)) & (low[1:-1] == 0x80))
-    solid[signs] = solid[signs + 1] = solid[signs + 2] = False
+    wide = np.flatnonzero(low >= 128)
+    if len(wide):
+        lead = (low[wide] & 0xC0) != 0x80
+        head = wide[lead]
+        tail = [low[np.minimum(head + k, len(low) - 1)].astype(np.int64) & 63 for k in (1, 2, 3)]
+        c = low[head].astype(np.int64)
+        point = np.where(c < 0xE0, (c & 31) << 6 | tail[0], np.where(c < 0xF0, (c & 15) << 12 | tail[0] << 6 | tail[1], (c & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+        if len(head):
+            solid[wide] = _word_points()[np.minimum(point, 0x10FFFF)][np.maximum(np.cumsum(lead) - 1, 0)]
     inner = np.flatnonzero((low[1:-1] == 64) | (low[1:-1] == 36)) + 1
     inner = inner[solid[inner - 1] & solid[inner + 1]]
     solid[inner[~np.isin(inner, at) & ~np.isin(inner + 1, at)]] = True
@@ -408,6 +418,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_ROWS)
         if family and not any(r["w"][:k] in stems for k in range(STEM[0], len(r["w"]))):
             stems[r["w"]] = r["odds"]
     words = {w: r["odds"] for w, r in whole.items() if not any(w[:k] in stems for k in range(STEM[0], len(w) + 1))}
+    # Those of very many rows stay in any case.
     common = {w for w in words if whole[w]["n1"] * 20 >= n1}
 
     def present(batches):
@@ -425,16 +436,22 @@ def learn(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_ROWS)
     chosen = _cover([set(x) for x in sorted(lists)], common, max(2, len(lists) // 200))
     words = {w: o for w, o in words.items() if w in chosen}
     stems = {w: o for w, o in stems.items() if w + "*" in chosen}
+    # A stem's family stands beside it, so that its words match misspelled.
+    for w in whole:
+        stem = next((w[:k] for k in range(STEM[0], len(w) + 1) if w[:k] in stems), None)
+        if stem is not None:
+            words[w] = stems[stem]
+    fuzzy = {e for e in (*words, *(s + "*" for s in stems)) if len(e.rstrip("*")) >= FUZZY_LENGTH}
 
     def measured(batches):
-        lexicon = Lexicon(words, stems, common)
+        lexicon = Lexicon(words, stems, fuzzy)
         for batch in batches:
             x = all_features(batch.column("text"), lexicon).tolist()
             yield pa.RecordBatch.from_pydict({"x": x, "y": batch.column("y").to_pylist()}, schema=pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64())]))
 
     rows = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInArrow(measured, "x array<double>, y long").collect())
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-    return Model(words, stems, common, [float(v) for v in _solved(x, y)])
+    return Model(words, stems, fuzzy, [float(v) for v in _solved(x, y)])
 
 
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:

@@ -61,6 +61,54 @@ def test_signs_and_context():
     assert tox.matches("", lexicon) == [] and tox.features("nothing here", lexicon) == [1.0, 0.0, 0.0, 0.0, 0.0]
 
 
+def test_filter_cuts_words_as_the_pattern():
+    lexicon = tox.Lexicon({"moron": 5.0}, {})
+    parts = ["moron", "morn", "é", "中", "😀", "→", "™", "！", "،", "٣", "Ⅻ", "́", "_", "@", "$", "·", "x", " ", "×", "\x00"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 5))) for _ in range(3000)]
+    got = tox.Lexicon({"moron": 5.0}, {}).filter.texts(tox.pa.array(texts), lexicon)
+    assert got.tolist() == [bool(tox.matches(t, lexicon)) for t in texts]
+    raw = "".join(texts).encode()
+    low = tox._lowered(tox.np.frombuffer(raw, tox.np.uint8))
+    at = tox.np.concatenate(([0], tox.np.cumsum([len(t.encode()) for t in texts])))
+    cut = [low[a:b].tobytes().decode() for a, b in zip(*tox._tokens(low, at), strict=True)]
+    assert cut == [w for t in texts for w in tox._WORD.findall(t.translate(tox._CAPITALS))]
+
+
+def test_stems_within_one_edit():
+    rng = random.Random(8)
+    stems = {"abcab": 2.0, "dcbad": 3.0, "bbaa": 4.0}
+    lexicon = tox.Lexicon({}, stems, {s + "*" for s in stems})
+    for _ in range(4000):
+        w = "".join(rng.choices("abcd", k=rng.randint(3, 8)))
+        whole = [s for s in stems if w.startswith(s)]
+        near = [(-stems[s], s + "*") for s in stems if len(s) >= tox.FUZZY_LENGTH and any(distance(w[:k], s) == 1 for k in range(len(s) - 1, len(s) + 2) if k <= len(w))]
+        want = (whole[0] + "*", stems[whole[0]], 0) if whole else (min(near)[1], -min(near)[0], 1) if near else None
+        assert lexicon.match(w) == want, w
+
+
+def test_rare_words_and_families_match_misspelled(spark):
+    """A corpus of many insults, none in as much as 5% of the toxic rows, and one family of a stem."""
+    rng = random.Random(2)
+    insults = ["".join(rng.choices("bdfgklmnprst", k=1)) + "".join(rng.choices("aeioubdfgklmnprst", k=7)) for _ in range(40)]
+    family = ["zyxwvo" + "".join(rng.choices("aeiou", k=3)) for _ in range(12)]
+    rows = []
+    for i in range(800):
+        rows.append((2 * i, f"you {insults[i % 40]} {insults[(i * 7 + 3) % 40]} {family[i % 12]} go", 1))
+        rows.append((2 * i + 1, "the " + " ".join("".join(rng.choices("hjqv", k=6)) for _ in range(4)), 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tox.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    lexicon = model.lexicon()
+    assert sum(w in model.words for w in insults) >= 30 and model.stems
+    entries = [w for w in [*insults, *family] if lexicon.exact(w)]
+    assert len(entries) >= 40
+    for w in entries:
+        for k in range(1, len(w)):
+            for wrong in (w[:k] + "h" + w[k:], w[:k] + "h" + w[k + 1 :], w[:k] + w[k + 1 :]):
+                assert lexicon.match(wrong) is not None, wrong
+        assert tox.all_features(tox.pa.array([f"oh {w[:3]}h{w[4:]}"]), lexicon)[0, 1] > 0
+
+
 def test_rows_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", 9.0), (None, None, 1.0), (1, "", 2.0), (4, "w " * 40_000, 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
