@@ -3,17 +3,19 @@
 The vocabulary is that of a given model file; nothing is trained. A text gets a
 leading space and is cut into single characters; the best-scored merge of two
 neighbours, the leftmost of equals, is made again and again. A candidate merge
-is skipped where a hash keyed by the seed, the place and both pieces falls
-below the dropout rate, so a text has many segmentations and each seed always
-gives the same one. Decoding joins the pieces and drops the leading space;
+is skipped where a hash keyed by the seed, the document, the place and both
+pieces falls below the dropout rate, so a text has many segmentations and each
+seed always gives the same one. Decoding joins the pieces and drops the leading space;
 characters outside the vocabulary are written as their UTF-8 bytes.
 
 No merge can cross two neighbouring characters that no piece holds side by
 side. Texts are cut there into chunks, and a block's distinct chunks are merged
-together as rows of a matrix, one merge a row and round. A frequent chunk has
-one of ``VARIANTS`` dropout patterns, drawn by a hash of seed, document and
-place. Chunks too long for a matrix go through an agenda (a heap of candidate
-merges) with the same outcome.
+together without dropout as rows of a matrix, one merge a row and round. Every
+occurrence of a chunk has a key of its own, by seed, document and place. Where
+its draws skip none of the merges that were made, leaving out others changes
+nothing, and it shares the outcome; all other occurrences are merged by
+themselves. Chunks too long for a matrix go through an agenda (a heap of
+candidate merges) with the same outcome.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pyspark.sql import types as T
 from freshet.llm.kernel import blocks, mix
 
 BLOCK = 1 << 19
-VARIANTS = 8
 MATRIX_WIDTH = 32
 NONE = np.int32(2**31 - 1)
 SPACE = "▁"
@@ -119,6 +120,12 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(char_id, char_class, beside, slots, merged, rank.astype(np.int32), byte_id, np.frombuffer(b"".join(texts), np.uint8), start, size)
 
 
+def drawn(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, seed: int) -> np.ndarray:
+    """A key of each occurrence of a chunk: its hash, the document's key and the chunk's number in the document."""
+    salt = np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64))
+    return mix(h + mix(mix(mix(doc + salt) + spot * _K[0]) + salt + np.uint64(1)))
+
+
 def dropped(key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, rate: float) -> np.ndarray:
     """Whether candidate merges are skipped: a hash of the chunk's key, the left piece's place in it and both pieces."""
     h = mix(key + place.astype(np.uint64) * _K[0] + mix(left.astype(np.uint64) * _K[1] + right.astype(np.uint64)))
@@ -136,8 +143,11 @@ def _ranks(v: Vocabulary, key, place, left, right, rate: float):
     return rank, piece
 
 
-def _merge_rows(v: Vocabulary, sym: np.ndarray, size: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge all rows of a matrix of piece numbers; returns it packed to the left, and the sizes."""
+def _merge_rows(v: Vocabulary, sym: np.ndarray, size: np.ndarray, key: np.ndarray, rate: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merge all rows of a matrix of piece numbers; returns it packed to the left, and the sizes.
+
+    ``made`` gets the merges of each round as (rows, places, left pieces, right pieces).
+    """
     rows, width = sym.shape
     place = np.broadcast_to(np.arange(width, dtype=np.int16), sym.shape).copy()
     rank = np.full((rows, max(1, width - 1)), NONE, dtype=np.int32)
@@ -159,6 +169,8 @@ def _merge_rows(v: Vocabulary, sym: np.ndarray, size: np.ndarray, key: np.ndarra
             return out, out_size
         n = np.arange(len(live))
         new = piece[n, at]
+        if made is not None:
+            made.append((live, place[n, at], sym[n, at], sym[n, at + 1]))
         # Take out the right one of each merged pair.
         move = np.minimum(cols + (cols > at[:, None]), width - 1)
         sym, place = np.take_along_axis(sym, move, 1), np.take_along_axis(place, move, 1)
@@ -175,8 +187,8 @@ def _merge_rows(v: Vocabulary, sym: np.ndarray, size: np.ndarray, key: np.ndarra
                 rank[ok, j], piece[ok, j] = _ranks(v, key[ok], place[ok, j], sym[ok, j], sym[ok, j + 1], rate)
 
 
-def _merge_long(v: Vocabulary, sym: np.ndarray, key: np.uint64, rate: float) -> np.ndarray:
-    """The same for one long chunk, by an agenda of candidate merges."""
+def _merge_long(v: Vocabulary, sym: np.ndarray, key: np.uint64, rate: float, made: list | None = None) -> np.ndarray:
+    """The same for one long chunk, by an agenda of candidate merges; ``made`` gets each merge as (place, left piece, right piece)."""
     n = len(sym)
     ids = sym.tolist()
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -195,6 +207,8 @@ def _merge_long(v: Vocabulary, sym: np.ndarray, key: np.uint64, rate: float) ->
         _, i, j, a, b, p = heapq.heappop(agenda)
         if ids[i] != a or ids[j] != b or right[i] != j:
             continue
+        if made is not None:
+            made.append((i, a, b))
         ids[i], ids[j] = p, -2
         right[i] = right[j]
         if right[i] >= 0:
@@ -205,71 +219,108 @@ def _merge_long(v: Vocabulary, sym: np.ndarray, key: np.uint64, rate: float) ->
     return np.array([x for x in ids if x != -2], dtype=np.int32)
 
 
-def encode_block(v: Vocabulary, texts: np.ndarray, at: np.ndarray, key: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces, offsets) of texts given as code points; ``key`` is a number a document."""
-    n = len(at) - 1
-    full = np.diff(at) > 0
-    # A leading space for each text that is not empty.
-    put = at[:-1][full]
-    codes = np.insert(texts, put, 32)
-    begin = at + np.concatenate(([0], np.cumsum(full)))
-    if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-    kind = v.char_class[codes]
-    fresh = np.empty(len(codes), dtype=bool)
-    fresh[0] = True
-    fresh[1:] = ~v.beside[kind[:-1], kind[1:]]
-    fresh[begin[:-1][full]] = True
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(codes)))
-    # 64-bit hashes of the chunks: position-weighted sums, places counted from a chunk's start.
-    inner = (np.arange(len(codes)) - np.repeat(first, size)).astype(np.uint64)
-    h = mix(np.add.reduceat(mix(codes.astype(np.uint64) * _K[2] + inner * _K[1]), first) + size.astype(np.uint64))
-    doc = np.searchsorted(begin, first, side="right") - 1
-    if rate > 0:
-        spot = np.arange(len(first), dtype=np.uint64) - np.searchsorted(first, begin[:-1]).astype(np.uint64)[doc]
-        salt = np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64))
-        drawn = mix(mix(key[doc] + salt) + spot * _K[0]) % np.uint64(VARIANTS)
-        h = mix(h + mix(drawn + salt + np.uint64(1)))
+def _segment(v: Vocabulary, codes: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, rate: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, number of pieces a chunk) of chunks given by start and size; ``made`` gets (chunks, places, left pieces, right pieces)."""
+    out_ids: list[np.ndarray] = [np.zeros(0, np.int32)]
+    out_rows: list[np.ndarray] = [np.zeros(0, np.int64)]
+    out_sizes = np.zeros(len(first), dtype=np.int64)
     # A chunk of one character cannot be merged.
-    _, where, which = np.unique(h, return_index=True, return_inverse=True)
-    u_first, u_size, u_key = first[where], size[where], h[where]
-    out_ids: list[np.ndarray] = []
-    out_rows: list[np.ndarray] = []
-    out_sizes = np.zeros(len(where), dtype=np.int64)
-    one = np.flatnonzero(u_size == 1)
-    single = v.char_id[codes[u_first[one]]]
+    one = np.flatnonzero(size == 1)
+    single = v.char_id[codes[first[one]]]
     known = one[single >= 0]
     out_ids.append(single[single >= 0])
     out_rows.append(known)
     out_sizes[known] = 1
     strange = one[single < 0]
     for u in strange.tolist():
-        raw = v.byte_id[np.frombuffer(chr(int(codes[u_first[u]])).encode("utf-8", "surrogatepass"), np.uint8)]
+        raw = v.byte_id[np.frombuffer(chr(int(codes[first[u]])).encode("utf-8", "surrogatepass"), np.uint8)]
         out_ids.append(raw)
         out_rows.append(np.full(len(raw), u))
         out_sizes[u] = len(raw)
     low = 2
     for width in (4, 6, 8, 12, 16, 24, MATRIX_WIDTH):
-        rows = np.flatnonzero((u_size >= low) & (u_size <= width))
+        rows = np.flatnonzero((size >= low) & (size <= width))
         low = width + 1
         for lo in range(0, len(rows), 50_000):
             part = rows[lo : lo + 50_000]
             cols = np.arange(width)[None, :]
-            spot = np.minimum(u_first[part][:, None] + cols, len(codes) - 1)
+            spot = np.minimum(first[part][:, None] + cols, len(codes) - 1)
             sym = v.char_id[codes[spot]]
-            sym, got = _merge_rows(v, sym, u_size[part].copy(), u_key[part], rate)
+            own: list | None = None if made is None else []
+            sym, got = _merge_rows(v, sym, size[part].copy(), key[part], rate, own)
+            if made is not None:
+                made.extend((part[live], *rest) for live, *rest in own)
             keep = cols < got[:, None]
             out_ids.append(sym[keep])
             out_rows.append(np.repeat(part, got))
             out_sizes[part] = got
-    for u in np.flatnonzero(u_size >= low).tolist():
-        ids = _merge_long(v, v.char_id[codes[u_first[u] : u_first[u] + u_size[u]]], u_key[u], rate)
+    for u in np.flatnonzero(size >= low).tolist():
+        own = None if made is None else []
+        ids = _merge_long(v, v.char_id[codes[first[u] : first[u] + size[u]]], key[u], rate, own)
+        if own:
+            made.append((np.full(len(own), u), *np.array(own).T))
         out_ids.append(ids)
         out_rows.append(np.full(len(ids), u))
         out_sizes[u] = len(ids)
     rows = np.concatenate(out_rows)
-    flat = np.concatenate(out_ids)[np.argsort(rows, kind="stable")]
+    return np.concatenate(out_ids)[np.argsort(rows, kind="stable")], out_sizes
+
+
+def _skipping(made: list, which: np.ndarray, chunks: int, key: np.ndarray, rate: float) -> np.ndarray:
+    """The occurrences whose draws skip a merge that their chunk made; ``which`` is the chunk and ``key`` the key of each."""
+    if not made:
+        return np.zeros(0, dtype=np.int64)
+    row, place, left, right = (np.concatenate(x) for x in zip(*made, strict=True))
+    order = np.argsort(row, kind="stable")
+    place, left, right = place[order], left[order], right[order]
+    count = np.bincount(row, minlength=chunks)
+    begin = np.cumsum(count) - count
+    out = []
+    some = np.flatnonzero(count[which])
+    ends = np.cumsum(count[which[some]])
+    # About a million draws at once.
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1 << 20)), len(some)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        occ = some[lo:hi]
+        n = count[which[occ]]
+        stop = np.cumsum(n)
+        pick = np.arange(stop[-1]) - np.repeat(stop - n, n) + np.repeat(begin[which[occ]], n)
+        gone = dropped(np.repeat(key[occ], n), place[pick], left[pick], right[pick], rate)
+        out.append(occ[np.logical_or.reduceat(gone, stop - n)])
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def encode_block(v: Vocabulary, texts: np.ndarray, at: np.ndarray, key: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, offsets) of texts given as code points; ``key`` is a number a document."""
+    n = len(at) - 1
+    full = np.diff(at) > 0
+    # A leading space for each text that is not empty.
+    put = at[:-1][full]
+    codes = np.insert(texts, put, 32)
+    begin = at + np.concatenate(([0], np.cumsum(full)))
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+    kind = v.char_class[codes]
+    fresh = np.empty(len(codes), dtype=bool)
+    fresh[0] = True
+    fresh[1:] = ~v.beside[kind[:-1], kind[1:]]
+    fresh[begin[:-1][full]] = True
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(codes)))
+    # 64-bit hashes of the chunks: position-weighted sums, places counted from a chunk's start.
+    inner = (np.arange(len(codes)) - np.repeat(first, size)).astype(np.uint64)
+    h = mix(np.add.reduceat(mix(codes.astype(np.uint64) * _K[2] + inner * _K[1]), first) + size.astype(np.uint64))
+    doc = np.searchsorted(begin, first, side="right") - 1
+    _, where, which = np.unique(h, return_index=True, return_inverse=True)
+    made: list | None = [] if rate > 0 else None
+    flat, out_sizes = _segment(v, codes, first[where], size[where], h[where], 0.0, made)
+    if rate > 0:
+        spot = np.arange(len(first), dtype=np.uint64) - np.searchsorted(first, begin[:-1]).astype(np.uint64)[doc]
+        own_key = drawn(h, key[doc], spot, seed)
+        own = _skipping(made, which, len(where), own_key, rate)
+        more, sizes = _segment(v, codes, first[own], size[own], own_key[own], rate)
+        which[own] = len(where) + np.arange(len(own))
+        flat, out_sizes = np.concatenate((flat, more)), np.concatenate((out_sizes, sizes))
     u_at = np.concatenate(([0], np.cumsum(out_sizes)[:-1]))
     counts = out_sizes[which]
     ends = np.cumsum(counts)

@@ -61,6 +61,45 @@ def test_matrix_and_agenda_agree():
             assert got[0, : size[0]].tolist() == pieces._merge_long(v, sym, key[0], rate).tolist()
 
 
+def test_every_occurrence_is_drawn_by_itself():
+    """Shared outcomes are those of merging each occurrence with its own key."""
+    v = pieces.vocabulary(MODEL)
+    words = ["the", "and", "nation", "reasonable", "information", "x", "internationalisation", "longwordwithoutanyspaces" * 2]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(40)]
+    seen = []
+    draw = pieces.drawn
+    try:
+        pieces.drawn = lambda *a: seen.append(draw(*a)) or seen[-1]
+        got = encoded(texts, 0.1, 3)
+    finally:
+        pieces.drawn = draw
+    keys = iter(seen[0].tolist())
+    for text, ids in zip(texts, got, strict=True):
+        want = []
+        codes = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+        kind = v.char_class[codes]
+        for chunk in np.split(codes, np.flatnonzero(~v.beside[kind[:-1], kind[1:]]) + 1):
+            want += pieces._merge_long(v, v.char_id[chunk], np.uint64(next(keys)), 0.1).tolist()
+        assert ids == want
+    assert len(set(seen[0].tolist())) == len(seen[0])
+
+
+def test_share_and_variety_of_a_frequent_word():
+    v = pieces.vocabulary(MODEL)
+    docs, times = 200, 50
+    for rate in (0.1, 0.3):
+        for seed in (1, 2, 3):
+            # One candidate merge a chunk: a space and a letter.
+            for letter in "abst":
+                assert v.lookup(v.char_id[[32]], v.char_id[[ord(letter)]])[0] >= 0
+                got = encoded([" ".join([letter] * times)] * docs, rate, seed)
+                split = sum(len(x) - times for x in got) / (docs * times)
+                assert abs(split - rate) < 5 * (rate * (1 - rate) / (docs * times)) ** 0.5, (letter, seed, split)
+    alone = encoded(["information"] * 5000, 0.1, 1)
+    assert len({tuple(x) for x in alone}) > 30
+
+
 def test_agenda_by_hand():
     """A plain agenda over pieces as strings: best score first, leftmost of equals, skipped by the keyed hash."""
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
