@@ -35,8 +35,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece numbers of each text, with the columns that identify and describe it."""
-    return pieces.encode(docs, piece_model(), rate=0.1, seed=1).drop("text")
+    """Piece numbers of each text, with the columns that identify and describe it, in the order of the mix.
+
+    Files are not reread in the order they were written in. The order follows
+    from the rows alone and the mix keeps all of them, so it is made again here
+    and returned as ``mix_slot`` and ``mix_place``.
+    """
+    slots = mix.interleave(docs, mix.tempered(docs)).orderBy("mix_slot", "mix_place")
+    return pieces.encode(slots.select(*docs.columns, "mix_slot", "mix_place"), piece_model(), rate=0.1, seed=1).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

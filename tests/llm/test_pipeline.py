@@ -1,5 +1,7 @@
 """The pipeline against its stages applied to plain rows."""
 
+from collections import Counter
+
 import corpus_pipeline
 from freshet.llm import jaccard, mix, pieces, pii, toxicity
 from freshet.llm.queries import piece_model
@@ -50,6 +52,20 @@ def test_stages_one_after_the_other(spark):
     assert jaccard.band_of(1) == 0
 
 
+def test_result_has_the_mix(spark):
+    rows = [(r["doc_id"], r["source"], r["mix_slot"], r["mix_place"]) for r in corpus_pipeline.run(spark, SF).collect()]
+    assert [x[2:] for x in rows] == sorted(x[2:] for x in rows)
+    count = Counter(x[1] for x in rows)
+    weight = {s: n**0.5 / sum(m**0.5 for m in count.values()) for s, n in count.items()}
+    # A slot has one block of one source; while no source is used up, each has its share of the slots within a block.
+    owner = {}
+    for _, source, slot, _ in rows:
+        assert owner.setdefault(slot, source) == source
+    # The first block of each source is due before slot 1 / weight.
+    for s in count:
+        assert min(t for t, o in owner.items() if o == s) <= 1 / weight[s]
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
