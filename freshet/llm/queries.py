@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, jaccard, mix, passages, pieces, pii, topk, toxicity, warc, winnow
+from freshet.llm import chat, convtrie, jaccard, merkle, mix, packing, passages, pieces, pii, topk, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,16 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def pack_vocabulary() -> str:
+    """Path of the packing's vocabulary; ``PACK_MODEL`` names another one."""
+    given = os.environ.get("PACK_MODEL")
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -150,3 +160,131 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_passages")
 def op3_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.without_repeats(table(spark, sf, "documents"))
+
+
+# Unsigned CRC-32 of the decimal text of a number, by its polynomial.
+_CRC = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda t, z: xor(t >> 1, 3988292384 * (t & 1)))))"""
+
+
+@query(
+    "op11_trie",
+    f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t2 AS (
+        SELECT *, substr(sha256(strlen(role)::VARCHAR || ':' || role || text), 1, 32) AS id FROM t),
+    c AS (
+        SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, id) AS seq,
+               CAST({_CRC.format("conv_id")} % 9 AS INTEGER) AS h
+        FROM t2 GROUP BY conv_id),
+    r AS (
+        SELECT c.conv_id, list_concat(coalesce(b.seq[1:c.h], []), c.seq[c.h + 1:]) AS seq
+        FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    p AS (
+        SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth, seq FROM r),
+    n AS (
+        SELECT depth, seq[1:depth] AS pre, min(conv_id) AS conv_id, count(*) AS n_convs,
+               string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends
+        FROM p GROUP BY depth, seq[1:depth]),
+    m AS (
+        SELECT n.*, u.conv_id AS parent, count(k.depth) AS n_children
+        FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.pre = n.pre[1:n.depth - 1]
+               LEFT JOIN n k ON k.depth = n.depth + 1 AND k.pre[1:n.depth] = n.pre
+        GROUP BY ALL),
+    a AS (
+        SELECT unnest(range(0, depth + 1)) AS depth, pre AS whole, n_children, (n_convs - 1) * (CASE WHEN depth > 0 THEN strlen(pre[depth].x) ELSE 0 END) AS saved
+        FROM m),
+    s AS (
+        SELECT depth, whole[1:depth] AS pre, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+        FROM a GROUP BY depth, whole[1:depth])
+    SELECT m.conv_id, m.depth, m.parent AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens,
+           sha256(coalesce(m.ends, '')) AS ends_sha256
+    FROM m JOIN s ON s.depth = m.depth AND s.pre = m.pre
+    """,
+)
+def op11_trie(spark: SparkSession, sf: str) -> DataFrame:
+    convs = convtrie.with_shared_heads(convtrie.conversations(table(spark, sf, "conversations")))
+    return convtrie.trie(convs).drop("turn_id")
+
+
+@query("op12_pack")
+def op12_pack(spark: SparkSession, sf: str) -> DataFrame:
+    pieces_ = packing.pack(table(spark, sf, "documents"), pack_vocabulary())
+    return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query(
+    "op13_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+        SELECT *, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+               sha256({_LEAF} || {_FIELD.format("low")}) AS changed
+        FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND {_CRC.format("doc_id")} % 3 = 0
+                             THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low
+              FROM documents)),
+    o AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+        FROM d),
+    lv AS (
+        SELECT 0 AS depth, lang, pos, n, leaf AS h FROM o
+        UNION ALL
+        SELECT depth + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY depth, lang, pos // 8, n),
+    sub AS (
+        SELECT lang, h AS subroot, depth AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+        FROM lv WHERE n = 1),
+    up AS (
+        SELECT 0 AS depth, pos, n, subroot AS h FROM sub
+        UNION ALL
+        SELECT depth + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY depth, pos // 8, n),
+    sib AS (
+        SELECT a.lang, a.depth, a.pos,
+               coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+               coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+        FROM lv a JOIN lv b ON a.lang IS NOT DISTINCT FROM b.lang AND a.depth = b.depth AND a.pos // 8 = b.pos // 8
+        WHERE a.n > 1 GROUP BY a.lang, a.depth, a.pos),
+    top AS (
+        SELECT a.depth, a.pos,
+               coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+               coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+        FROM up a JOIN up b ON a.depth = b.depth AND a.pos // 8 = b.pos // 8
+        WHERE a.n > 1 GROUP BY a.depth, a.pos),
+    f AS (
+        SELECT o.doc_id, o.lang, o.leaf, o.changed, o.pos, s.subroot, s.height, s.pos AS place, 0 AS k, o.pos AS spot, o.changed AS h, '' AS proof
+        FROM o JOIN sub s ON o.lang IS NOT DISTINCT FROM s.lang
+        UNION ALL
+        SELECT f.doc_id, f.lang, f.leaf, f.changed, f.pos, f.subroot, f.height, f.place, f.k + 1,
+               CASE WHEN f.k + 1 = f.height THEN f.place ELSE f.spot // 8 END,
+               sha256(coalesce(sib.l, top.l) || f.h || coalesce(sib.r, top.r)),
+               f.proof || coalesce(sib.l, top.l) || coalesce(sib.r, top.r)
+        FROM (SELECT *, CASE WHEN height = 0 AND k = 0 THEN place ELSE spot END AS here FROM f) f
+        LEFT JOIN sib ON f.k < f.height AND sib.lang IS NOT DISTINCT FROM f.lang AND sib.depth = f.k AND sib.pos = f.here
+        LEFT JOIN top ON f.k >= f.height AND top.depth = f.k - f.height AND top.pos = f.here
+        WHERE sib.l IS NOT NULL OR top.l IS NOT NULL),
+    last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY lang, pos ORDER BY k DESC) = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+    FROM last, (SELECT h AS root FROM up WHERE n = 1)
+    """,
+)
+def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_of([F.translate("text", letters, letters.lower()) if c == "text" else F.col(c) for c in columns])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    manifest = merkle.build(docs, columns, group="lang", order="doc_id", carry={"changed": F.when(hit, tampered)})
+    proofs = merkle.prove(manifest).withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return proofs.select(
+        F.col("order").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
