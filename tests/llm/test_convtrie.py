@@ -1,6 +1,7 @@
 """The radix tree, and the trie against dictionaries of prefixes."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -54,7 +55,7 @@ def plain(rows):
     seqs = {}
     for c, ts in convs.items():
         h = zlib.crc32(str(c).encode()) % 9
-        seqs[c] = tuple(convs.get(c - c % 5, [])[:h] + ts[h:])
+        seqs[c] = tuple(convs.get(c - int(math.fmod(c, 5)), [])[:h] + ts[h:])  # the remainder of SQL
     members = defaultdict(list)
     for c, s in seqs.items():
         for d in range(len(s) + 1):
@@ -79,7 +80,7 @@ def got(spark, rows, size):
     return sorted(tuple(-1 if r[n] is None else r[n] for n in names) for r in nodes)
 
 
-@pytest.mark.parametrize("size", [1 << 20, 400, 1])
+@pytest.mark.parametrize("size", [1 << 20, 1500, 400])
 def test_trie_of_many_ranges(spark, size):
     rng = random.Random(size)
     rows = []
