@@ -1,8 +1,9 @@
 """Spatial joins without a geometry library.
 
 Shapes carry a bounding box ``x0, y0, x1, y1`` and, unless they are axis-aligned
-rectangles, a ``ring``: array of ``struct<x, y>`` without the closing point.
-Rings must be convex; split others first. All tables share one coordinate system.
+rectangles, a ``ring``: array of ``struct<x, y>`` without the closing point, and
+if they have any, ``holes``: an array of such rings. Rings may be concave but
+must not cross themselves. All tables share one coordinate system.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from freshet.functions import scan
 from freshet.functions.exprs import floor_to_ground
+from freshet.operators import polygons
 from freshet.operators.joins import pair_up
 from freshet.session import cut_lineage
 
@@ -121,52 +122,33 @@ def box_pairs(left: DataFrame, right: DataFrame, left_name: str = "l", right_nam
 
 
 def clip_area(subject: np.ndarray, window: np.ndarray) -> float:
-    """Area two convex rings have in common: cut the first along every edge of the second."""
-    if _signed_area(window) < 0:
-        window = window[::-1]
-    part = subject
-    for start, end in zip(window, np.roll(window, -1, axis=0)):
-        if len(part) < 3:
-            return 0.0
-        edge = end - start
-        side = edge[0] * (part[:, 1] - start[1]) - edge[1] * (part[:, 0] - start[0])
-        nxt, nxt_side = np.roll(part, -1, axis=0), np.roll(side, -1)
-        kept = []
-        for p, q, a, b in zip(part, nxt, side, nxt_side):
-            if a >= 0:
-                kept.append(p)
-            if (a >= 0) != (b >= 0):
-                kept.append(p + (q - p) * (a / (a - b)))
-        part = np.array(kept) if kept else np.empty((0, 2))
-    return abs(_signed_area(part)) if len(part) >= 3 else 0.0
+    """Area two simple rings have in common."""
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    one, two = (polygons.edges_of(pa.array([[[{"x": float(x), "y": float(y)} for x, y in ring]]], kind)) for ring in (subject, window))
+    return float(polygons.areas(one, two)[0])
 
 
-def _signed_area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return 0.5 * float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
-
-
-def _points(ring) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def common_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([clip_area(_points(p), _points(q)) for p, q in zip(a, b)], dtype="float64")
+def with_parts(df: DataFrame) -> DataFrame:
+    """Add ``_parts``: all rings of a shape, those of its box if it has none of its own."""
+    shaped = df if "ring" in df.columns else rectangle_ring(df)
+    return shaped.withColumn("_parts", polygons.parts_of(shaped)).select(*df.columns, "_parts")
 
 
 def overlap_areas(hf_mesh: DataFrame, lf_mesh: DataFrame) -> DataFrame:
     """Common area of every overlapping pair ``(cell_id, lf_cell_id, area)``."""
-    pairs = box_pairs(hf_mesh, lf_mesh)
+    rings = "ring" in hf_mesh.columns or "ring" in lf_mesh.columns
+    left, right = hf_mesh.select("cell_id", *BOX), lf_mesh.select("lf_cell_id", *BOX)
+    if rings:
+        left, right = (with_parts(df).select(key, *BOX, "_parts") for df, key in ((hf_mesh, "cell_id"), (lf_mesh, "lf_cell_id")))
+    pairs = box_pairs(left, right)
     p, q = F.col("l"), F.col("r")
     width = F.least(p["x1"], q["x1"]) - F.greatest(p["x0"], q["x0"])
     height = F.least(p["y1"], q["y1"]) - F.greatest(p["y0"], q["y0"])
     inner = pairs.where((width > 0) & (height > 0))
-    rings = "ring" in hf_mesh.columns and "ring" in lf_mesh.columns
-    area = common_area(p["ring"], q["ring"]) if rings else width * height
-    return inner.select(
-        p["cell_id"].alias("cell_id"), q["lf_cell_id"].alias("lf_cell_id"), area.alias("area")
-    ).where(F.col("area") > 0)
+    area = polygons.common_area(p["_parts"], q["_parts"]) if rings else width * height
+    found = inner.select(p["cell_id"].alias("cell_id"), q["lf_cell_id"].alias("lf_cell_id"), area.alias("area"), (width * height).alias("_box"))
+    # What rounding leaves of shapes that only touch is no overlap.
+    return found.where(F.col("area") > F.col("_box") * 1e-12).drop("_box")
 
 
 def largest_overlap(hf_mesh: DataFrame, lf_mesh: DataFrame, require_all: bool = True) -> DataFrame:
@@ -190,37 +172,6 @@ def largest_overlap(hf_mesh: DataFrame, lf_mesh: DataFrame, require_all: bool =
 # --- area of interest -----------------------------------------------------------------------------
 
 
-def _segments(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ring, np.roll(ring, -1, axis=0)
-
-
-def _side(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return (b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0])
-
-
-def _contains(ring: np.ndarray, p: np.ndarray) -> bool:
-    a, b = _segments(ring)
-    crosses = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return bool(np.count_nonzero(crosses & (p[0] < at)) % 2)
-
-
-def rings_touch(ring: np.ndarray, other: np.ndarray) -> bool:
-    """Whether two simple polygons share any point."""
-    a, b = (v[:, None, :] for v in _segments(ring))
-    c, d = (v[None, :, :] for v in _segments(other))
-    s1, s2, s3, s4 = _side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b)
-    boxes = np.ones(s1.shape, dtype=bool)
-    for axis in (0, 1):
-        lo1, hi1 = np.minimum(a[..., axis], b[..., axis]), np.maximum(a[..., axis], b[..., axis])
-        lo2, hi2 = np.minimum(c[..., axis], d[..., axis]), np.maximum(c[..., axis], d[..., axis])
-        boxes &= (lo1 <= hi2) & (lo2 <= hi1)
-    if bool(np.any(boxes & (s1 * s2 <= 0) & (s3 * s4 <= 0))):
-        return True
-    return _contains(ring, other[0]) or _contains(other, ring[0])
-
-
 def within_aoi(mesh: DataFrame, ring: Sequence[tuple[float, float]]) -> DataFrame:
     """Cells that share any point with the area of interest.
 
@@ -238,12 +189,7 @@ def within_aoi(mesh: DataFrame, ring: Sequence[tuple[float, float]]) -> DataFram
     if is_box and "ring" not in mesh.columns:
         return near
 
-    @F.pandas_udf(T.BooleanType())
-    def touches(rings: pd.Series) -> pd.Series:
-        return pd.Series([rings_touch(_points(r), area) for r in rings], dtype="bool")
-
-    shaped = near if "ring" in mesh.columns else rectangle_ring(near)
-    return shaped.where(touches("ring")).select(*mesh.columns)
+    return with_parts(near).where(polygons.touches(F.col("_parts"), ring)).select(*mesh.columns)
 
 
 # --- nearest --------------------------------------------------------------------------------------
@@ -256,49 +202,108 @@ def box_distance(p: Column, q: Column) -> Column:
     return F.sqrt(gap_x * gap_x + gap_y * gap_y)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_id: str = "near_id") -> DataFrame:
-    """Closest right box of every left box; the lowest id wins a tie.
+BRANCH = 8  # children of a node along each axis
+LEAF_ROWS = 8  # right rows of a leaf, about
+DEEPEST = 6
+
+
+def _boxes(df: DataFrame, prefix: str = "") -> Column:
+    return F.struct(*[F.col(prefix + c).alias(c) for c in BOX])
+
+
+def _farthest(point: Column, box: Column) -> Column:
+    """Distance of the corner of a box that is farthest from a point."""
+    dx = F.greatest(F.abs(point["x"] - box["x0"]), F.abs(point["x"] - box["x1"]))
+    dy = F.greatest(F.abs(point["y"] - box["y0"]), F.abs(point["y"] - box["y1"]))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def nearest_candidates(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_id: str = "near_id") -> DataFrame:
+    """Pairs ``(left_id, right_id, _low)`` among which the nearest partner of every left box is; ``_low`` is the boxes' distance.
 
-    The search radius starts near the usual distance between right boxes and
-    doubles until every left row has a partner within it. A partner found
-    within the radius is final, because everything outside is farther away.
+    The right boxes are filed in a tree of bins, 64 children a node, whose
+    nodes know the box around all below them. Left rows go down level by level.
+    The farthest corner of a child's box bounds the distance of the nearest
+    partner from above, the nearest point of its box from below, so a row keeps
+    the children whose lower bound is within the least upper bound it has seen.
+    Neither the distance nor the crowding of the right boxes near a row makes
+    it look at more than the bins around its nearest ones.
     """
     finite = F.forall(F.array(*BOX), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
     bad = left.select(finite.alias("ok")).unionByName(right.select(finite.alias("ok"))).where(~F.col("ok"))
     if not bad.isEmpty():
         raise ValueError("boxes need finite coordinates")
-    right = right.select(right_id, *BOX)
-    waiting = left.select(left_id, *BOX)
-    scale = right.agg(
-        F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("size"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if not scale["n"]:
+    mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    whole = right.agg(F.count("*").alias("n"), F.min(mid_x).alias("x"), F.min(mid_y).alias("y"), F.max(mid_x).alias("x1"), F.max(mid_y).alias("y1")).first()
+    if not whole["n"]:
         raise ValueError("nothing to be near to")
-    whole = waiting.agg((F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h")).first()
-    spacing = ((whole["w"] or 0.0) * (whole["h"] or 0.0) / scale["n"]) ** 0.5
-    radius = max(scale["size"] or 0.0, spacing, 1e-6)
-    found: DataFrame | None = None
-    while True:
-        reach = waiting.withColumns(
-            {"x0": F.col("x0") - radius, "y0": F.col("y0") - radius, "x1": F.col("x1") + radius, "y1": F.col("y1") + radius}
-        )
-        pairs = box_pairs(reach, right)
-        own = F.struct(
-            (F.col("l.x0") + radius).alias("x0"), (F.col("l.y0") + radius).alias("y0"),
-            (F.col("l.x1") - radius).alias("x1"), (F.col("l.y1") - radius).alias("y1"),
-        )
-        measured = pairs.select(
-            F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id),
-            box_distance(own, F.col("r")).alias("dist"),
-        ).where(F.col("dist") <= radius)
-        best = measured.groupBy(left_id).agg(F.min(F.struct("dist", right_id)).alias("_m")).select(left_id, "_m.*")
-        best = cut_lineage(best)
-        found = best if found is None else found.unionByName(best)
-        waiting = cut_lineage(waiting.join(best, left_id, "left_anti"))
-        if waiting.isEmpty():
-            return found.select(left_id, right_id, "dist")
-        radius *= 2
+    depth = min(DEEPEST, max(1, math.ceil(math.log(max(1.0, whole["n"] / LEAF_ROWS), BRANCH * BRANCH))))
+    side = max(whole["x1"] - whole["x"], whole["y1"] - whole["y"]) or 1.0
+    cells = BRANCH**depth
+
+    def place(mid: Column, low: float) -> Column:
+        return F.least(F.floor((mid - low) / side * cells), F.lit(cells - 1))
+
+    filed = cut_lineage(right.select(right_id, *BOX, place(mid_x, whole["x"]).alias("_bx"), place(mid_y, whole["y"]).alias("_by")))
+    nodes = filed.groupBy("_bx", "_by").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
+    tree = []
+    for _ in range(depth):
+        up = nodes.groupBy(F.floor(F.col("_bx") / BRANCH).alias("_px"), F.floor(F.col("_by") / BRANCH).alias("_py"))
+        nodes = up.agg(
+            F.collect_list(F.struct("_bx", "_by", _boxes(nodes).alias("box"))).alias("_children"),
+            *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")],
+        ).withColumnsRenamed({"_px": "_bx", "_py": "_by"})
+        tree.append(nodes.select("_bx", "_by", "_children"))
+
+    zero = F.lit(0).cast("long")
+    rows = left.select(F.col(left_id), _boxes(left).alias("_box"), zero.alias("_bx"), zero.alias("_by"))
+    for level in reversed(tree):
+        box = F.col("_box")
+        middle = F.struct(((box["x0"] + box["x1"]) / 2).alias("x"), ((box["y0"] + box["y1"]) / 2).alias("y"))
+        seen = rows.join(level, ["_bx", "_by"]).select(
+            left_id, "_box",
+            F.transform(
+                "_children", lambda c: F.struct(box_distance(F.col("_box"), c["box"]).alias("low"), _farthest(middle, c["box"]).alias("high"), c["_bx"].alias("bx"), c["_by"].alias("by"))
+            ).alias("_c"),
+        )
+        seen = seen.withColumn("_high", F.array_min(F.transform("_c", lambda c: c["high"])))
+        # The bounds are rounded; a little slack keeps the true nearest.
+        seen = seen.withColumn("_c", F.filter("_c", lambda c: c["low"] <= F.col("_high") * (1 + 1e-12)))
+        one = seen.groupBy(left_id).agg(F.first("_box").alias("_box"), F.min("_high").alias("_high"), F.flatten(F.collect_list("_c")).alias("_c"))
+        kept = F.filter("_c", lambda c: c["low"] <= F.col("_high") * (1 + 1e-12))
+        rows = one.select(left_id, "_box", "_high", F.explode(F.transform(kept, lambda c: F.struct(c["bx"].alias("bx"), c["by"].alias("by")))).alias("_at"))
+        rows = rows.select(left_id, "_box", "_high", F.col("_at.bx").alias("_bx"), F.col("_at.by").alias("_by"))
+    pairs = rows.join(filed, ["_bx", "_by"])
+    low = box_distance(F.col("_box"), _boxes(pairs))
+    return pairs.select(left_id, right_id, low.alias("_low"), "_high").where(F.col("_low") <= F.col("_high") * (1 + 1e-12)).drop("_high")
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_id: str = "near_id") -> DataFrame:
+    """Closest right shape of every left shape; the lowest id wins a tie.
+
+    Tables without rings are measured by their boxes. With rings on either
+    side, the distance is that of the polygons, 0 where they touch or one lies
+    in the other (but not in its holes); a row's candidates are first cut by
+    the least distance that one of their boxes can have at most.
+    """
+    pairs = nearest_candidates(left, right, left_id, right_id)
+    best = F.min(F.struct(F.col("dist"), F.col(right_id))).alias("_m")
+    if "ring" not in left.columns and "ring" not in right.columns:
+        found = pairs.withColumnRenamed("_low", "dist").groupBy(left_id).agg(best)
+        return found.select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.dist").alias("dist"))
+    a = with_parts(left).select(left_id, F.col("_parts").alias("_a"), _boxes(left).alias("_abox"))
+    b = with_parts(right).select(right_id, F.col("_parts").alias("_b"), _boxes(right).alias("_bbox"))
+    boxed = pairs.join(a.select(left_id, "_abox"), left_id).join(b.select(right_id, "_bbox"), right_id)
+    # A side of each box holds a point of its shape, so shapes are no farther apart than their boxes' corners can be.
+    p, q = F.col("_abox"), F.col("_bbox")
+    wide = F.greatest(p["x1"], q["x1"]) - F.least(p["x0"], q["x0"])
+    high = F.greatest(p["y1"], q["y1"]) - F.least(p["y0"], q["y0"])
+    boxed = boxed.withColumn("_most", F.sqrt(wide * wide + high * high))
+    near = boxed.groupBy(left_id).agg(F.min("_most").alias("_least"), F.collect_list(F.struct("_low", F.col(right_id).alias("id"))).alias("_c"))
+    near = near.select(left_id, F.explode(F.filter("_c", lambda c: c["_low"] <= F.col("_least") * (1 + 1e-12))).alias("_c"))
+    asked = near.select(left_id, F.col("_c.id").alias(right_id)).join(a.select(left_id, "_a"), left_id).join(b.select(right_id, "_b"), right_id)
+    found = asked.select(left_id, right_id, polygons.distance(F.col("_a"), F.col("_b")).alias("dist")).groupBy(left_id).agg(best)
+    return found.select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.dist").alias("dist"))
 
 
 # --- rasters --------------------------------------------------------------------------------------
@@ -307,31 +312,49 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_i
 def rasterize(shapes: DataFrame, spec: dict) -> DataFrame:
     """Pixels ``(row, col)`` of a north-up raster whose area any of the shapes reaches into.
 
-    Each shape lists the pixels of its own box, so the work follows the shapes.
+    Scan lines: every edge of a shape is cut by the pixel rows it passes, which
+    gives the columns it runs through there and where it crosses the middle of
+    the row. The columns between the odd and the even crossings of a row are
+    inside. So a row of a shape is one small group, whatever the shape's size,
+    and pixels are only made from a row's runs of columns.
     """
     cell = float(spec["cell"])
-    left, top = float(spec["left"]), float(spec["top"])
-
-    def span(lo: Column, hi: Column, count: int) -> Column:
-        first = F.greatest(F.floor(lo), F.lit(0))
-        last = F.least(F.greatest(F.ceil(hi) - 1, F.floor(lo)), F.lit(count - 1))
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    cols = span((F.col("x0") - left) / cell, (F.col("x1") - left) / cell, spec["ncols"])
-    rows = span((F.lit(top) - F.col("y1")) / cell, (F.lit(top) - F.col("y0")) / cell, spec["nrows"])
-    pixels = shapes.withColumn("col", F.explode(cols)).withColumn("row", F.explode(rows))
-    if "ring" in shapes.columns:
-
-        @F.pandas_udf(T.DoubleType())
-        def covered(rings: pd.Series, row: pd.Series, col: pd.Series) -> pd.Series:
-            out = []
-            for r, i, j in zip(rings, row, col):
-                x, y = left + j * cell, top - (i + 1) * cell
-                pixel = np.array([(x, y), (x + cell, y), (x + cell, y + cell), (x, y + cell)])
-                out.append(clip_area(pixel, _points(r)))
-            return pd.Series(out, dtype="float64")
-
-        pixels = pixels.where(covered("ring", "row", "col") > 0)
+    left, top, n_rows, n_cols = float(spec["left"]), float(spec["top"]), int(spec["nrows"]), int(spec["ncols"])
+    shaped = with_parts(shapes).select(F.monotonically_increasing_id().alias("_shape"), "_parts").select("_shape", F.explode("_parts").alias("ring"))
+    # In units of pixels: columns to the right, rows downwards.
+    at = F.transform("ring", lambda p: F.struct(((p["x"] - left) / cell).alias("x"), ((F.lit(top) - p["y"]) / cell).alias("y")))
+    n = F.size("ring")
+    after = F.concat(F.slice("ring", 2, F.greatest(n - 1, F.lit(0))), F.slice("ring", 1, 1))
+    edges = shaped.select("_shape", at.alias("ring")).select("_shape", F.inline(F.arrays_zip(F.col("ring").alias("p"), after.alias("q"))))
+    edges = edges.select("_shape", *[F.col(f"{e}.{c}").alias(e + c) for e in "pq" for c in "xy"])
+    low, high = F.least("py", "qy"), F.greatest("py", "qy")
+    first, last = F.greatest(F.floor(low), F.lit(0)), F.least(F.floor(high), F.lit(n_rows - 1))
+    lines = edges.withColumns({"_lo": low, "_hi": high}).withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last))))
+
+    def x_at(y: Column) -> Column:
+        return F.col("px") + (F.col("qx") - F.col("px")) * (y - F.col("py")) / F.nullif(F.col("qy") - F.col("py"), F.lit(0.0))
+
+    top_y, bottom_y, middle = F.greatest(F.col("_lo"), F.col("row")), F.least(F.col("_hi"), F.col("row") + 1), F.col("row") + 0.5
+    flat = F.col("_lo") == F.col("_hi")
+    a, b = F.when(flat, F.col("px")).otherwise(x_at(top_y)), F.when(flat, F.col("qx")).otherwise(x_at(bottom_y))
+    # Only what lies between the borders of the row counts; an edge along a border has no pixel of its own.
+    within = F.when(flat, F.col("_lo") > F.col("row")).otherwise(bottom_y > top_y)
+    crossing = F.when((F.col("_lo") <= middle) & (middle < F.col("_hi")), x_at(middle))
+    lines = lines.select("_shape", "row", F.when(within, F.least(a, b)).alias("_from"), F.when(within, F.greatest(a, b)).alias("_to"), crossing.alias("_x"))
+    passed = F.struct(
+        F.floor("_from").alias("a"),
+        # A stretch without width stands in the pixel it is inside of, on a border in none.
+        F.when(F.col("_from") == F.col("_to"), F.ceil("_from") - 1).otherwise(F.greatest(F.ceil("_to") - 1, F.floor("_from"))).alias("b"),
+    )
+    rows = lines.groupBy("_shape", "row").agg(
+        F.array_distinct(F.collect_list(F.when(F.col("_from").isNotNull(), passed))).alias("_runs"), F.sort_array(F.collect_list("_x")).alias("_x")
+    )
+    pairs = F.when(F.size("_x") > 1, F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)))
+    # Pixels whose middle lies between two crossings.
+    inside = F.transform(pairs, lambda k: F.struct(F.ceil(F.get("_x", k) - 0.5).alias("a"), (F.ceil(F.get("_x", k + 1) - 0.5) - 1).alias("b")))
+    runs = rows.select("row", F.explode(F.concat("_runs", F.coalesce(inside, F.array().cast("array<struct<a:bigint,b:bigint>>")))).alias("run"))
+    runs = runs.select("row", F.greatest(F.col("run.a"), F.lit(0)).alias("a"), F.least(F.col("run.b"), F.lit(n_cols - 1)).alias("b")).where("a <= b")
+    pixels = runs.select("row", F.explode(F.sequence("a", "b")).alias("col"))
     return pixels.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
 
 
@@ -443,3 +466,62 @@ def cell_stations(mesh: DataFrame, line: DataFrame) -> DataFrame:
     stations = hits.select("cell_id", (F.col("_start") + F.col("_a") * F.col("_len")).alias("station"))
     distinct = stations.groupBy("cell_id", F.round("station", 9)).agg(F.min("station").alias("station"))
     return distinct.groupBy("cell_id").agg(F.avg("station").alias("station"))
+
+
+# --- cells along a line ---------------------------------------------------------------------------
+
+
+def _passed_bins(size: float) -> Column:
+    """Bins of a grid that a segment ``px, py, qx, qy`` passes, column by column, those it only touches included."""
+    first, last = F.floor(F.least("px", "qx") / size), F.floor(F.greatest("px", "qx") / size)
+    run = F.nullif(F.col("qx") - F.col("px"), F.lit(0.0))
+
+    def span(bx: Column) -> Column:
+        def y_at(x: Column) -> Column:
+            inside = F.greatest(F.least("px", "qx"), F.least(F.greatest("px", "qx"), x))
+            return F.coalesce(F.col("py") + (F.col("qy") - F.col("py")) * (inside - F.col("px")) / run, F.col("py"))
+
+        one, two = y_at(bx * size), y_at((bx + 1) * size)
+        lo = F.when(run.isNull(), F.least("py", "qy")).otherwise(F.least(one, two))
+        hi = F.when(run.isNull(), F.greatest("py", "qy")).otherwise(F.greatest(one, two))
+        # A little more on both sides, so that rounding loses no bin.
+        slack = F.lit(size * 1e-9)
+        return F.transform(F.sequence(F.floor((lo - slack) / size), F.floor((hi + slack) / size)), lambda by: F.struct(bx.alias("_bx"), by.alias("_by")))
+
+    return F.flatten(F.transform(F.sequence(first, last), span))
+
+
+def line_cells(mesh: DataFrame, line: DataFrame, key: str = "cell_id") -> DataFrame:
+    """Rows of ``mesh`` that share any point with a polyline (``ord, x, y``, ``ord`` dense from 0).
+
+    Segments are filed in the grid bins they pass and not in all that their box
+    covers, cells in those of their box; what meets in a bin is tested exactly.
+    A segment is split first where it would pass very many bins.
+    """
+    size = mesh.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    if not size:
+        size = 1.0
+    size = 2.0 ** math.ceil(math.log2(size))
+    segments = line_segments(line).select("px", "py", "qx", "qy")
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("qx") - F.col("px")), F.abs(F.col("qy") - F.col("py"))) / (size * 256))).cast("int")
+    part = F.explode(F.transform(F.sequence(F.lit(0), steps - 1), lambda k: F.struct((k / steps).alias("a"), ((k + 1) / steps).alias("b"))))
+    cut = segments.select("px", "py", "qx", "qy", part.alias("s"))
+
+    def between(share: Column, c: str) -> Column:
+        return F.when(share == 1, F.col(f"q{c}")).otherwise(F.col(f"p{c}") + (F.col(f"q{c}") - F.col(f"p{c}")) * share)
+
+    cut = cut.select(*[between(F.col(f"s.{e}"), c).alias(n + c) for n, e in (("p", "a"), ("q", "b")) for c in "xy"])
+    # The bins follow the parts; the exact test takes a part's own ends.
+    bins = cut.select(F.struct("px", "py", "qx", "qy").alias("seg"), F.inline(_passed_bins(size)))
+
+    def span(lo: str, hi: str) -> Column:
+        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+
+    shaped = with_parts(mesh).select(key, "_parts", _boxes(mesh).alias("box"), *BOX)
+    filed = shaped.select(key, "_parts", "box", F.explode(span("x0", "x1")).alias("_bx"), *BOX).select(key, "_parts", "box", "_bx", F.explode(span("y0", "y1")).alias("_by"))
+    met = filed.join(bins, ["_bx", "_by"])
+    s, box = F.col("seg"), F.col("box")
+    near = (F.least(s["px"], s["qx"]) <= box["x1"]) & (F.greatest(s["px"], s["qx"]) >= box["x0"]) & (F.least(s["py"], s["qy"]) <= box["y1"]) & (F.greatest(s["py"], s["qy"]) >= box["y0"])
+    thread = F.array(F.array(F.struct(s["px"].alias("x"), s["py"].alias("y")), F.struct(s["qx"].alias("x"), s["qy"].alias("y")))).cast(polygons.PARTS)
+    hits = met.where(near).where(polygons.touch(F.col("_parts"), thread)).select(key).distinct()
+    return mesh.join(hits, key, "left_semi")
