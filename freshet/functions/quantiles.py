@@ -1,96 +1,73 @@
-"""Exact quantiles for groups of any size."""
+"""Exact quantiles for groups of any size, by radix selection.
+
+A double is filed by its sign, its binary exponent and the leading bits of its
+fraction: a whole number that grows with the value. Counts of a coarse file
+(64 bins an octave) tell which bin holds a wanted rank; only the values of such
+bins are counted in a fine one (2**20 bins an octave), and only what shares a
+fine bin with a wanted rank is put in order. The same steps hold for any group:
+what is moved between tasks are counts of bins and a few values, never a group.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest group whose values one task may hold while sorting them.
-GROUP_LIMIT = 2_000_000
-SKETCH_BUCKETS = 512
+from freshet.session import cut_lineage
+
+COARSE, FINE = 6, 20  # bits of the fraction
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    col: str,
-    probs: Sequence[float],
-    name: str = "q",
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """One row per group with ``name`` = array of linearly interpolated quantiles.
+def bin_of(value: Column, bits: int) -> Column:
+    """Bin of a double; never falls as the value grows.
 
-    Groups that are all below ``group_limit`` use the built-in exact aggregate.
-    Beyond it the ranks are looked up in two steps: a mergeable sketch cuts each
-    group into buckets, exact bucket counts find the bucket that holds each
-    rank, and only those buckets are ordered. Equal values are counted before
-    they are shuffled by group.
+    ``log2`` may be rounded up to the next whole number just below it; the
+    fraction is then a little below 0 and the bin the last one of the octave
+    before, which is the right one.
     """
-    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= group_limit:
-        literal = F.array(*[F.lit(float(p)) for p in probs])
-        return values.groupBy(*by).agg(F.percentile("_v", literal).alias(name))
-    return _ranked_quantiles(values, by, probs, name)
+    size = F.least(F.abs(value), F.lit(1.7976931348623157e308))
+    octave = F.floor(F.log2(F.greatest(size, F.lit(2.0**-1021))))
+    fraction = F.greatest(F.floor((size / F.pow(F.lit(2.0), octave.cast("double")) - 1) * (1 << bits)), F.lit(-1))
+    own = (octave + 1022) * (1 << bits) + fraction + 1
+    return F.when(size < 2.0**-1021, F.lit(0)).when(value < 0, -own).otherwise(own).cast("long")
 
 
-def _ranked_quantiles(values: DataFrame, by: Sequence[str], probs: Sequence[float], name: str) -> DataFrame:
-    keys = list(by) or ["_all"]
-    counted = (values if by else values.withColumn("_all", F.lit(0))).groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    cuts = F.array(*[F.lit(i / SKETCH_BUCKETS) for i in range(1, SKETCH_BUCKETS)])
-    sketch = counted.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", cuts, F.lit(20 * SKETCH_BUCKETS))).alias("_cuts"),
-        F.sum("_n").alias("_total"),
-    )
-    bucketed = counted.join(sketch.select(*keys, "_cuts"), keys).select(
-        *keys, "_v", "_n", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))).alias("_bucket")
-    )
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+def _located(wanted: DataFrame, counts: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """Wanted ranks (``_rank``, counted inside ``keys`` and ``within``) with the ``_bin`` that holds them and the rank inside it."""
+    place = [*keys, *within]
+    earlier = Window.partitionBy(*place).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    upto = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    met = wanted.join(upto, place).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    return met.withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_before", "_n")
 
-    # Interpolation needs the values at the two ranks around each quantile.
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.lit(float(p)).alias("p"))
-            for i, p in enumerate(probs)
-            for side in (0, 1)
-        ]
-    )
-    targets = sketch.select(*keys, "_total", F.explode(wanted).alias("_w")).select(
-        *keys,
-        F.col("_w.i").alias("_i"),
-        F.col("_w.side").alias("_side"),
-        ((F.col("_total") - 1) * F.col("_w.p")).alias("_at"),
-        F.least(
-            F.floor((F.col("_total") - 1) * F.col("_w.p")) + F.col("_w.side"), F.col("_total") - 1
-        ).alias("_rank"),
-    )
-    located = targets.join(placed, keys).where(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows"))
-    )
-    needed = located.select(*keys, "_bucket", "_before").distinct()
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
-    ranked = bucketed.join(needed, [*keys, "_bucket"]).select(
-        *keys,
-        "_bucket",
-        "_v",
-        (F.sum("_n").over(inside) - F.col("_n") + F.col("_before")).alias("_from"),
-        (F.sum("_n").over(inside) + F.col("_before")).alias("_to"),
-    )
-    hits = located.select(*keys, "_bucket", "_i", "_side", "_at", "_rank").join(ranked, [*keys, "_bucket"]).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    )
-    share = F.max(F.col("_at") - F.floor("_at"))
-    low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
-    points = hits.groupBy(*keys, "_i").agg((low + (high - low) * share).alias("_q"))
-    out = points.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(name)
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], name: str = "q") -> DataFrame:
+    """One row per group with ``name`` = array of linearly interpolated quantiles; NULL and NaN do not count."""
+    keys = list(by) or ["_all"]
+    values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(*by, F.col(col).cast("double").alias("_v"))
+    if not by:
+        values = values.withColumn("_all", F.lit(0))
+    # Read three times below.
+    values = cut_lineage(values)
+    coarse = values.withColumn("_bin", bin_of(F.col("_v"), COARSE)).groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    coarse = cut_lineage(coarse)
+    totals = coarse.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    at = (F.col("_total") - 1) * F.col("_w.p")
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs) for side in (0, 1)])
+    wanted = totals.select(*keys, "_total", F.explode(ends).alias("_w")).select(
+        *keys, F.col("_w.i").alias("_i"), F.col("_w.side").alias("_side"), (at - F.floor(at)).alias("_share"), F.least(F.floor(at) + F.col("_w.side"), F.col("_total") - 1).alias("_rank")
     )
+    wanted = _located(wanted, coarse, keys, []).withColumnRenamed("_bin", "_coarse")
+    held = values.withColumn("_coarse", bin_of(F.col("_v"), COARSE)).join(wanted.select(*keys, "_coarse").distinct(), [*keys, "_coarse"])
+    fine = held.withColumn("_bin", bin_of(F.col("_v"), FINE)).groupBy(*keys, "_coarse", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = cut_lineage(_located(wanted, fine, keys, ["_coarse"])).withColumnRenamed("_bin", "_fine")
+    few = values.withColumn("_fine", bin_of(F.col("_v"), FINE)).join(wanted.select(*keys, "_fine").distinct(), [*keys, "_fine"])
+    # Equal values are one row with their count.
+    few = few.groupBy(*keys, "_fine", F.col("_v").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    points = _located(wanted.drop("_coarse"), few, keys, ["_fine"])
+    low, high = F.max(F.when(F.col("_side") == 0, F.col("_bin"))), F.max(F.when(F.col("_side") == 1, F.col("_bin")))
+    between = points.groupBy(*keys, "_i").agg((low + (high - low) * F.max("_share")).alias("_q"))
+    out = between.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(name))
     return out if by else out.drop("_all")

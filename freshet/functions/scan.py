@@ -15,7 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.session import cut_lineage
+
 STEP_CHUNK = 4096
+BUCKETS_TOGETHER = 4096
 ROWS_PER_BUCKET = 200_000
 
 
@@ -50,7 +53,20 @@ def bucket_of(col: str | Column, bounds: Sequence[float]) -> Column:
 
 
 def _before(summary: DataFrame, keys: Sequence[str], bucket: str, sums: Sequence[str]) -> DataFrame:
-    """Sums over all earlier buckets of the same key."""
+    """Sums over all earlier buckets of the same key.
+
+    Without a key all summary rows are one series. They are summed in stretches
+    of ``BUCKETS_TOGETHER`` buckets first, so that only one row a stretch goes
+    through a single window.
+    """
+    if not keys:
+        placed = summary.withColumn("_stretch", F.floor(F.col(bucket) / BUCKETS_TOGETHER))
+        totals = placed.groupBy("_stretch").agg(*[F.sum(c).alias(c) for c in sums])
+        whole = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        far = totals.select("_stretch", *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"_far_{c}") for c in sums])
+        inside = Window.partitionBy("_stretch").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        near = placed.select("_stretch", bucket, *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_near_{c}") for c in sums])
+        return near.join(far, "_stretch").select(bucket, *[(F.col(f"_near_{c}") + F.col(f"_far_{c}")).alias(f"_before_{c}") for c in sums])
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
         *keys, bucket, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums]
@@ -95,6 +111,19 @@ def row_position(
     )
 
 
+def global_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Add the 0-based position of each row in the order of the whole table, whatever the spread of its values.
+
+    Rows are sorted into ranges and numbered where they lie; one row a range
+    tells how many stand before it.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    kept = cut_lineage(ranged).withColumn("_bucket", F.shiftright("_mid", 33))
+    counts = kept.groupBy("_bucket").agg(F.min("_mid").alias("_lo"), F.count(F.lit(1)).alias("_rows"))
+    offsets = counts.join(_before(counts, [], "_bucket", ["_rows"]), "_bucket").select("_bucket", (F.col("_before__rows") - F.col("_lo")).alias("_shift"))
+    return kept.join(offsets, "_bucket").select(*[F.col(c) for c in df.columns], (F.col("_mid") + F.col("_shift")).cast("long").alias(name))
+
+
 def with_halo(df: DataFrame, step: str, distance: int, width: int = STEP_CHUNK) -> DataFrame:
     """Add ``_chunk``; the first ``distance`` rows of a chunk are copied into the chunk before it."""
     if distance > width:
@@ -105,7 +134,7 @@ def with_halo(df: DataFrame, step: str, distance: int, width: int = STEP_CHUNK)
 
 
 def ahead_in_chunk(
-    df: DataFrame, keys: Sequence[str], step: str, cols: Sequence[str], distance: int, width: int = STEP_CHUNK
+    df: DataFrame, keys: Sequence[str], step: str, cols: Sequence[str], distance: int, width: int = STEP_CHUNK, keep_chunk: bool = False
 ) -> DataFrame:
     """Add ``<col>_<i>`` inside the chunks of ``with_halo`` and drop the copies."""
     ordered = Window.partitionBy(*keys, "_chunk").orderBy(F.col(step).cast("long"))
@@ -117,7 +146,8 @@ def ahead_in_chunk(
             for c in cols
         ],
     )
-    return ahead.where(F.col("_chunk") == chunk_of(step, width)).drop("_chunk")
+    own = ahead.where(F.col("_chunk") == chunk_of(step, width))
+    return own if keep_chunk else own.drop("_chunk")
 
 
 def look_ahead(
@@ -127,12 +157,13 @@ def look_ahead(
     cols: Sequence[str],
     distance: int,
     width: int = STEP_CHUNK,
+    keep_chunk: bool = False,
 ) -> DataFrame:
-    """Add ``<col>_<i>``: the value of the same series at ``step + i``, i = 1..distance.
+    """Add ``<col>_<i>``: the value of the same series at ``step + i``, i = 1..distance, and on request the row's ``_chunk``.
 
     One shuffle on ``(keys, chunk)`` is enough, and no task holds a whole series.
     """
-    return ahead_in_chunk(with_halo(df, step, distance, width), keys, step, cols, distance, width)
+    return ahead_in_chunk(with_halo(df, step, distance, width), keys, step, cols, distance, width, keep_chunk)
 
 
 def with_next(df: DataFrame, order: str, bucket: Column, cols: Sequence[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +21,13 @@ def step_change(df: DataFrame, keys: Sequence[str] = ("run", "series"), width: i
     ``t`` is the dense step index of the run. A series that never changes has
     change 0 throughout.
     """
-    longest = df.agg(F.max("t")).first()[0]
-    if longest is not None and longest < width:
-        # Every series fits one chunk, so its total can be taken in the same window partition.
-        order = Window.partitionBy(*keys).orderBy(F.col("t").cast("long")).rangeBetween(1, 1)
-        deltas = df.select(*keys, "t", F.abs(F.first("value").over(order) - F.col("value")).alias("_delta"))
-        summed = deltas.withColumn("_total", F.sum("_delta").over(Window.partitionBy(*keys)))
-        summed = summed.where(F.col("_delta").isNotNull())
-    else:
-        ahead = scan.look_ahead(df, keys, "t", ["value"], 1, width)
-        deltas = ahead.select(*keys, "t", F.abs(F.col("value_1") - F.col("value")).alias("_delta")).where(
-            F.col("_delta").isNotNull()
-        )
-        summed = deltas.join(deltas.groupBy(*keys).agg(F.sum("_delta").alias("_total")), list(keys))
+    ahead = scan.look_ahead(df, keys, "t", ["value"], 1, width, keep_chunk=True)
+    deltas = ahead.select(*keys, "t", "_chunk", F.abs(F.col("value_1") - F.col("value")).alias("_delta"))
+    # A chunk's total is taken where its rows are; totals of the chunks of a series meet as one row each.
+    here = Window.partitionBy(*keys, "_chunk")
+    deltas = deltas.withColumns({"_part": F.sum("_delta").over(here), "_first": F.col("t") == F.min("t").over(here)})
+    parts = deltas.where("_first").groupBy(*keys).agg(F.sum("_part").alias("_total"))
+    summed = deltas.where(F.col("_delta").isNotNull()).join(parts, list(keys))
     share = F.when(F.col("_total") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_delta"), F.col("_total")))
     return summed.select(*keys, "t", share.alias("change"))
 
@@ -92,7 +85,7 @@ def clip(df: DataFrame, cuts: DataFrame) -> DataFrame:
 def event_hour(df: DataFrame) -> DataFrame:
     """Position of each record inside its event, in time order; equal times are ordered by the other columns."""
     ties = [c for c in df.columns if c not in ("event_id", "datetime")]
-    out = scan.row_position(df, ["event_id"], ["datetime", *ties], F.date_trunc("hour", "datetime"), "hour")
+    out = scan.row_position(df, ["event_id"], ["datetime", *ties], F.date_trunc("month", "datetime"), "hour")
     return out.withColumn("hour", F.col("hour").cast("int"))
 
 
@@ -102,8 +95,8 @@ def peak_step(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def block_maxima(df: DataFrame, k: int = 10, cols: Sequence[str] = ("precip_cum", "inflow")) -> DataFrame:
-    """Maxima over groups of ``k`` consecutive events in id order."""
-    placed = scan.row_position(df, [], ["event_id"], scan.chunk_of("event_id"), "_pos")
+    """Maxima over groups of ``k`` consecutive events in id order, however sparse the ids."""
+    placed = scan.global_position(df, ["event_id"], "_pos")
     block = F.floor(F.col("_pos") / k).cast("int")
     return placed.groupBy(block.alias("block")).agg(*[F.max(c).alias(c) for c in cols])
 
@@ -212,21 +205,25 @@ def api(
     return joined.select(*df.columns, total.alias(name))
 
 
+# Below this decay, what lies two chunks back is lost in a double.
+FADED = 1e-130
+
+
 def _carried(left_behind: DataFrame, keys: Sequence[str], fade: float) -> DataFrame:
-    """What earlier chunks leave to each chunk; a group has one row a chunk, whatever the number of steps."""
-    fields = ", ".join(f"`{c}` {left_behind.schema[c].dataType.simpleString()}" for c in [*keys, "_chunk"])
-
-    def scan_chunks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_chunk")
-        out, state, last = [], 0.0, None
-        for chunk, left in zip(group["_chunk"].tolist(), group["_left"].tolist(), strict=True):
-            if last is not None:
-                state = (state * fade + before) * fade ** (chunk - last - 1)
-            out.append(state)
-            last, before = chunk, left
-        return group[[*keys, "_chunk"]].assign(_carried=out)
-
-    return left_behind.groupBy(*keys).applyInPandas(scan_chunks, f"{fields}, `_carried` double")
+    """What all earlier chunks leave to each chunk, decayed by ``fade`` a chunk.
+
+    That is the same index over the series of chunks, so it is found in the
+    same way: chunks of chunks, until a chunk fades within the next one. No
+    group holds more than one chunk of a level, with keys or without.
+    """
+    sent = left_behind.select(*keys, (F.col("_chunk") + 1).alias("t"), F.col("_left").alias("_x"))
+    asked = left_behind.select(*keys, F.col("_chunk").alias("t"), F.lit(0.0).alias("_x"))
+    series = sent.unionByName(asked).groupBy(*keys, "t").agg(F.sum("_x").alias("_x"))
+    if fade < FADED:
+        found = series.withColumnRenamed("_x", "_carried")
+    else:
+        found = api(series, fade, None, keys, "_x", "_carried").drop("_x")
+    return found.withColumnRenamed("t", "_chunk")
 
 
 def _stacked_api(df, k, window, keys, value, name, width) -> DataFrame:

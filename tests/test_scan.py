@@ -33,16 +33,27 @@ def test_next_row_across_buckets(spark):
     assert got["next_i"].iloc[:-1].astype(int).tolist() == list(range(1, 300)) and pd.isna(got["next_i"].iloc[-1])
 
 
-@pytest.mark.parametrize("limit", [10, 10**6])
-def test_quantiles_of_hot_groups_are_exact(spark, limit):
+def test_bins_never_fall_as_values_grow(spark):
+    rng = np.random.default_rng(20)
+    v = np.r_[rng.normal(size=300), rng.lognormal(sigma=200, size=300), -rng.lognormal(sigma=200, size=300), 0.0, -0.0, 5e-324, -5e-324, 1e-308, 1.7e308, -1.7e308, np.inf, -np.inf]
+    v = np.r_[v, [s * np.nextafter(2.0**k, d) for k in range(-1020, 1024, 7) for d in (-np.inf, np.inf) for s in (1, -1)], [2.0**k for k in range(-1022, 1024, 5)]]
+    v = np.sort(v[~np.isnan(v)])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
+    for bits in (quantiles.COARSE, quantiles.FINE):
+        bins = [r["b"] for r in df.select("i", quantiles.bin_of(quantiles.F.col("v"), bits).alias("b")).orderBy("i").collect()]
+        assert bins == sorted(bins) and len(set(bins)) > 900
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200])
+def test_quantiles_of_hot_groups_are_exact(spark, scale):
     rng = np.random.default_rng(2)
-    pdf = pd.DataFrame({"k": ["hot"] * 5000 + ["cold"] * 7, "v": np.r_[np.round(rng.lognormal(size=5000), 2), np.arange(7.0)]})
+    pdf = pd.DataFrame({"k": ["hot"] * 5000 + ["cold"] * 7 + ["same"] * 90, "v": scale * np.r_[np.round(rng.normal(size=5000) * 3, 2), np.arange(7.0), [0.1] * 90]})
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = {r["k"]: r["q"] for r in quantiles.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs, group_limit=limit).collect()}
+    got = {r["k"]: r["q"] for r in quantiles.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs).collect()}
     for key, group in pdf.groupby("k"):
-        np.testing.assert_allclose(got[key], np.quantile(group["v"], probs), atol=1e-12)
-    whole = quantiles.exact_quantiles(spark.createDataFrame(pdf), [], "v", probs, group_limit=limit).first()["q"]
-    np.testing.assert_allclose(whole, np.quantile(pdf["v"], probs), atol=1e-12)
+        np.testing.assert_allclose(got[key], np.quantile(group["v"], probs), atol=1e-12 * scale)
+    whole = quantiles.exact_quantiles(spark.createDataFrame(pdf), [], "v", probs).first()["q"]
+    np.testing.assert_allclose(whole, np.quantile(pdf["v"], probs), atol=1e-12 * scale)
 
 
 @pytest.mark.parametrize("k,window,width", [(0.85, None, 512), (0.85, None, 8), (0.999, None, 16), (1, None, 8), (0.85, 5, 8), (0.5, None, 512)])
@@ -117,3 +128,28 @@ def test_interpolation_extends_past_the_ends(spark, monkeypatch):
 def test_separation_rule(spark, values, n, kept):
     eigs = spark.createDataFrame(list(enumerate(values)), "mode int, eigenvalue double")
     assert stats.norths_rule(eigs, n).first()["modes"] == kept
+
+
+def test_positions_of_sparse_values_need_no_single_window(spark):
+    rng = np.random.default_rng(21)
+    ids = np.unique((rng.uniform(size=3000) ** 9 * 1e15).astype("int64"))
+    df = spark.createDataFrame([(int(i),) for i in rng.permutation(ids)], "event_id long").repartition(6)
+    got = {r["event_id"]: r["pos"] for r in scan.global_position(df, ["event_id"]).collect()}
+    assert got == {int(i): k for k, i in enumerate(ids)}
+
+
+def test_index_over_all_runs_holds_no_series_in_one_task(spark):
+    """Without a key: no Python group, and windows go by chunks of one level only."""
+    from freshet.operators import windows
+
+    df = spark.range(200_000).select(F.col("id").cast("int").alias("t"), (F.col("id") % 17).cast("double").alias("rain"))
+    for k in (0.85, 0.9999):
+        out = windows.api(df, k, keys=[])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "SinglePartition" not in plan
+        got = {r["t"]: r["api"] for r in out.where("t % 9973 = 5 OR t = 199999").collect()}
+        state, want = 0.0, {}
+        for t in range(200_000):
+            state = t % 17 + k * state
+            want[t] = state
+        assert got == {t: pytest.approx(want[t], rel=1e-9) for t in got} and len(got) > 20

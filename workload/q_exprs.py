@@ -211,7 +211,7 @@ def _band(spark, sf):
     return rnd(exprs.confidence_band(view(spark, sf, "scores"), mean="z").select("run", "t", "mode", "low", "high"))
 
 
-DISTANCES = "SELECT a.t, a.mode, (a.z-b.z)*(a.z-b.z)*9 AS d2 FROM scores a JOIN scores b ON b.run=a.run AND b.t=a.t AND b.mode=(a.mode+1)%3"
+DISTANCES = "SELECT a.t, a.mode, (a.z-b.z)*(a.z-b.z)*9 AS d2 FROM scores a JOIN scores b ON b.run=a.run AND b.t=a.t AND b.mode=(a.mode+1)%64"
 SHAPES = {
     "Matern12": "exp(-r)",
     "Matern32": "(1+sqrt(3.0E0)*r)*exp(-sqrt(3.0E0)*r)",

@@ -80,6 +80,75 @@ def _nearest(spark, sf):
     return rnd(spatial.nearest(view(spark, sf, "hf_mesh"), view(spark, sf, "centreline")))
 
 
+# --- concave shapes: a cell without its upper right quarter, and one with a notch from above and a hole ---
+
+ELLS = """SELECT cell_id, x0, y0, x1, y1, array(named_struct('x',x0,'y',y0), named_struct('x',x1,'y',y0), named_struct('x',x1,'y',y0+0.5E0),
+    named_struct('x',x0+0.5E0,'y',y0+0.5E0), named_struct('x',x0+0.5E0,'y',y1), named_struct('x',x0,'y',y1)) AS ring FROM hf_mesh"""
+
+
+def notched(spark, sf):
+    c = view(spark, sf, "centreline")
+    x, y = F.col("x0"), F.col("y0")
+
+    def ring(*points):
+        return F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in points])
+
+    outer = ring((0, 0), (1, 0), (1, 1), (0.75, 1), (0.75, 0.5), (0.25, 0.5), (0.25, 1), (0, 1))
+    return c.withColumns({"ring": outer, "holes": F.array(ring((0.3, 0.1), (0.7, 0.1), (0.7, 0.4), (0.3, 0.4)))})
+
+
+def _strokes(points) -> str:
+    """Edges of a shape as boxes without width: all run along an axis."""
+    out = []
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+        out.append(f"({min(ax, bx)}E0,{min(ay, by)}E0,{max(ax, bx)}E0,{max(ay, by)}E0)")
+    return ", ".join(out)
+
+
+ELL_EDGES = _strokes([(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.5, 0.5), (0.5, 1.0), (0.0, 1.0)])
+NOTCH_EDGES = ", ".join([
+    _strokes([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.75, 1.0), (0.75, 0.5), (0.25, 0.5), (0.25, 1.0), (0.0, 1.0)]),
+    _strokes([(0.3, 0.1), (0.7, 0.1), (0.7, 0.4), (0.3, 0.4)]),
+])
+
+
+@query(
+    "nearest_rings",
+    f"""WITH e AS (SELECT h.cell_id, h.x0+a AS x0, h.y0+b AS y0, h.x0+c AS x1, h.y0+d AS y1 FROM hf_mesh h JOIN (VALUES {ELL_EDGES}) v(a,b,c,d) ON true),
+       f AS (SELECT k.near_id, k.x0+a AS x0, k.y0+b AS y0, k.x0+c AS x1, k.y0+d AS y1 FROM centreline k JOIN (VALUES {NOTCH_EDGES}) v(a,b,c,d) ON true),
+       p AS (SELECT e.cell_id, f.near_id, min(sqrt(pow(greatest(0.0E0,e.x0-f.x1,f.x0-e.x1),2)+pow(greatest(0.0E0,e.y0-f.y1,f.y0-e.y1),2))) AS dist
+         FROM e JOIN f ON abs(e.y0-f.y0)<60 GROUP BY e.cell_id, f.near_id)
+       SELECT cell_id, near_id, round(dist,6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(dist,9), near_id) AS rn FROM p) q WHERE rn=1""",
+)
+def _nearest_rings(spark, sf):
+    return rnd(spatial.nearest(run_sql(spark, sf, ELLS), notched(spark, sf)))
+
+
+@query(
+    "overlap_concave",
+    """SELECT cell_id, lf_cell_id, round(area,6) AS area FROM (
+         SELECT h.cell_id, l.lf_cell_id,
+           greatest(0.0E0, least(h.x1,l.x1)-greatest(h.x0,l.x0))*greatest(0.0E0, least(h.y1,l.y1)-greatest(h.y0,l.y0))
+           -greatest(0.0E0, least(h.x1,l.x1)-greatest(h.x0+0.5E0,l.x0))*greatest(0.0E0, least(h.y1,l.y1)-greatest(h.y0+0.5E0,l.y0)) AS area
+         FROM hf_mesh h JOIN lf_mesh l ON h.x0<l.x1 AND l.x0<h.x1 AND h.y0<l.y1 AND l.y0<h.y1) q WHERE area>1.0E-9""",
+)
+def _overlap_concave(spark, sf):
+    return rnd(spatial.overlap_areas(run_sql(spark, sf, ELLS), view(spark, sf, "lf_mesh")))
+
+
+@query(
+    "centreline_cells",
+    """WITH s AS (SELECT * FROM (SELECT x AS px, y AS py, lead(x) OVER (ORDER BY ord) AS qx, lead(y) OVER (ORDER BY ord) AS qy FROM river) l WHERE qx IS NOT NULL),
+       c AS (SELECT h.cell_id, h.x0, h.y0,
+           greatest(0.0E0, least((h.x0-px)/(qx-px), (h.x1-px)/(qx-px)), least((h.y0-py)/(qy-py), (h.y1-py)/(qy-py))) AS a,
+           least(1.0E0, greatest((h.x0-px)/(qx-px), (h.x1-px)/(qx-px)), greatest((h.y0-py)/(qy-py), (h.y1-py)/(qy-py))) AS b
+         FROM hf_mesh h JOIN s ON h.x0<=greatest(px,qx) AND h.x1>=least(px,qx) AND h.y0<=greatest(py,qy) AND h.y1>=least(py,qy))
+       SELECT DISTINCT cell_id, x0, y0 FROM c WHERE a<=b""",
+)
+def _centreline_cells(spark, sf):
+    return spatial.line_cells(view(spark, sf, "hf_mesh"), view(spark, sf, "river")).select("cell_id", "x0", "y0")
+
+
 SPEC = {"left": -3.0, "top": 1000.0, "cell": 1.75, "nrows": 600, "ncols": 40}
 SHAPES = "SELECT cell_id, x0+0.2E0 AS x0, y0+0.1E0 AS y0, x1+0.3E0 AS x1, y1+0.15E0 AS y1 FROM hf_mesh WHERE cell_id%4<>0"
 
@@ -95,6 +164,21 @@ def _rasterize(spark, sf):
     return spatial.rasterize(run_sql(spark, sf, SHAPES), SPEC)
 
 
+@query(
+    "rasterize_rings",
+    """SELECT DISTINCT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM (SELECT unnest(range(
+         CAST(floor((1000-y1)/0.35E0) AS INT), CAST(ceil((1000-y0)/0.35E0) AS INT))) AS r, c FROM
+         (SELECT y0, y1, unnest(range(CAST(floor((x0+3)/0.35E0) AS INT), CAST(ceil((x1+3)/0.35E0) AS INT))) AS c FROM
+           (SELECT x0+0.02E0 AS x0, y0+0.01E0 AS y0, x1+0.02E0 AS x1, y0+0.51E0 AS y1 FROM hf_mesh WHERE cell_id%3=0
+            UNION ALL SELECT x0+0.02E0, y0+0.01E0, x0+0.52E0, y1+0.01E0 FROM hf_mesh WHERE cell_id%3=0) s) q) p
+       WHERE r BETWEEN 0 AND 2999 AND c BETWEEN 0 AND 199""",
+)
+def _rasterize_rings(spark, sf):
+    moved = "transform(ring, p -> named_struct('x', p.x+0.02E0, 'y', p.y+0.01E0)) AS ring"
+    shapes = run_sql(spark, sf, f"SELECT {moved} FROM ({ELLS}) e WHERE cell_id%3=0")
+    return spatial.rasterize(shapes, {"left": -3.0, "top": 1000.0, "cell": 0.35, "nrows": 3000, "ncols": 200})
+
+
 POINTS = "SELECT cell_id, x0+0.51E0 AS x, y0+0.47E0 AS y, elevation/3 AS elevation FROM hf_mesh"
 WEIGHTS = f"""
     SELECT cell_id, tri_id, a_id, b_id, c_id, wa, wb, 1-wa-wb AS wc FROM (
@@ -143,7 +227,7 @@ def _link(spark, sf):
 @query(
     "metric_map",
     """WITH m AS (SELECT k.event, k.cell_id, CASE WHEN k.cell_id%13=0 THEN 0.0E0 ELSE k.rmse_cell_toi END AS error_value
-         FROM cell_metrics k JOIN hf_mesh h ON h.cell_id=k.cell_id WHERE k.cell_id%2=0)
+         FROM cell_metrics k JOIN hf_mesh h ON h.cell_id=k.cell_id)
        SELECT m.event, m.cell_id, h.x0, h.y0, m.error_value, v.vmin, v.vmax FROM m JOIN hf_mesh h ON h.cell_id=m.cell_id
        JOIN (SELECT min(error_value) AS vmin, max(error_value) AS vmax FROM m) v ON true""",
 )
@@ -151,7 +235,7 @@ def _metric_map(spark, sf):
     m = view(spark, sf, "cell_metrics").withColumn(
         "rmse_cell_toi", F.when(F.col("cell_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("rmse_cell_toi"))
     )
-    mesh = view(spark, sf, "hf_mesh").where(F.col("cell_id") % 2 == 0).select("cell_id", "x0", "y0")
+    mesh = view(spark, sf, "hf_mesh").select("cell_id", "x0", "y0")
     return joins.metric_map(mesh, m, "rmse_cell_toi")
 
 
@@ -259,12 +343,12 @@ def _ordered(spark, sf):
 
 
 STEPS = """SELECT CAST(run AS INT) AS event_id, t, value AS v, CAST('2024-03-01 00:00:00' AS TIMESTAMP_NTZ) AS start_time
-    FROM (SELECT concat(CAST(t%4 AS STRING)) AS run, CAST(floor(t/4.0) AS INT) AS t, v AS value FROM grid WHERE pos=0) g"""
+    FROM (SELECT pos*4+t%4 AS run, CAST(floor(t/4.0) AS INT) AS t, v AS value FROM grid) g"""
 
 
 @query(
     "tail_steps",
-    """WITH g AS (SELECT CAST(t%4 AS INT) AS event_id, CAST(floor(t/4.0) AS INT) AS t, v FROM grid WHERE pos=0),
+    """WITH g AS (SELECT CAST(pos*4+t%4 AS INT) AS event_id, CAST(floor(t/4.0) AS INT) AS t, v FROM grid),
        e AS (SELECT event_id, greatest(max(t)-71, 0) AS lo FROM g GROUP BY event_id)
        SELECT g.event_id, g.t, round(g.v,6)+0.0E0 AS v, CAST(g.t-e.lo AS INT) AS step, TIMESTAMP '2024-03-01 00:00:00'+to_hours(g.t-e.lo) AS stamp
        FROM g JOIN e ON e.event_id=g.event_id WHERE g.t>=e.lo""",
@@ -273,9 +357,9 @@ def _tail(spark, sf):
     return rnd(sets.tail_steps(run_sql(spark, sf, STEPS), 72).select("event_id", "t", "v", "step", "stamp"))
 
 
-@query("union_runs", "SELECT run, t, cell_id, round(hf,6) AS value FROM cells WHERE t<40 OR t>=80")
+@query("union_runs", "SELECT run, t, cell_id, round(hf,6) AS value FROM cells")
 def _union(spark, sf):
-    return rnd(sets.union_runs(side(spark, sf, "hf", F.col("t") < 40), side(spark, sf, "hf", F.col("t") >= 80)))
+    return rnd(sets.union_runs(side(spark, sf, "hf", F.col("t") < 40), side(spark, sf, "hf", F.col("t") >= 40)))
 
 
 @query(

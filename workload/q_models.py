@@ -33,15 +33,15 @@ def _diverse(spark, sf):
     return spark.createDataFrame([(i, e) for i, e in enumerate(picked)], "pick int, event_id long")
 
 
-POINT = (0.1, -0.2, 0.05, 0.3)
+POINT = tuple((i * 7 % 11 - 5) / 10 for i in range(64))
 
 
 @query(
     "farthest_distance",
-    "SELECT run, t, round(sqrt(" + "+".join(f"pow(max(CASE WHEN pos={i} THEN v END)-({p}),2)" for i, p in enumerate(POINT)) + "),6) AS d FROM grid GROUP BY run, t",
+    "SELECT run, t, round(sqrt(sum(pow(v-(pos*7%11-5)/10.0E0,2))),6) AS d FROM grid GROUP BY run, t",
 )
 def _distance(spark, sf):
-    rows = gp.stack(view(spark, sf, "grid").where(F.col("pos") < 4), "pos", "v", "x")
+    rows = gp.stack(view(spark, sf, "grid"), "pos", "v", "x")
     return rnd(rows.select("run", "t", select.distance_to("x", POINT).alias("d")))
 
 
@@ -173,10 +173,8 @@ def _experiment(spark, sf):
 def _experiment_forcing(spark, sf):
     """Rainfall and inflow features as inputs: each run borrows a forcing series."""
     train, test = split(spark, sf)
-    names = {"error": "r0", "click": "r1", "purchase": "r2", "signup": "r3", "view": "r0"}
-    mapping = spark.createDataFrame(list(names.items()), "run string, source string")
-    forcing = view(spark, sf, "forcing").withColumnRenamed("run", "source").join(mapping, "source").drop("source")
-    lf = forcing.where(F.col("t") < 120)
+    mapping = run_sql(spark, sf, "SELECT run, concat('r', CAST((row_number() OVER (ORDER BY run)-1)%4 AS STRING)) AS source FROM (SELECT DISTINCT run FROM cells) r")
+    lf = view(spark, sf, "forcing").withColumnRenamed("run", "source").join(mapping, "source").drop("source")
     for part in (train, test):
         part.lf = lf.join(part.hf.select("run").distinct(), "run", "left_semi")
         steps = part.lf.select("run", "t").distinct()

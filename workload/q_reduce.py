@@ -16,12 +16,11 @@ from workload.views import run_sql, view
 
 @query(
     "covariance",
-    """WITH g AS (SELECT run, t, pos, v FROM grid WHERE pos<12) SELECT i, j, round(covar_samp,6)+0.0E0 AS cov FROM
+    """WITH g AS (SELECT run, t, pos, v FROM grid) SELECT i, j, round(covar_samp,6)+0.0E0 AS cov FROM
        (SELECT a.pos AS i, b.pos AS j, covar_samp(a.v, b.v) AS covar_samp FROM g a JOIN g b ON b.run=a.run AND b.t=a.t AND b.pos>=a.pos GROUP BY a.pos, b.pos) q""",
 )
 def _covariance(spark, sf):
-    g = view(spark, sf, "grid").where(F.col("pos") < 12)
-    return rnd(reduce.covariance(g, "pos", "v"))
+    return rnd(reduce.covariance(view(spark, sf, "grid"), "pos", "v"))
 
 
 @query(
@@ -56,7 +55,7 @@ def _fit_eof(spark, sf):
 @query(
     "fit_eof_roundtrip",
     """SELECT c.run, c.t, c.cell_id, round(CASE WHEN s.wetness='AD' THEN c.elevation ELSE c.hf END,5) AS value
-       FROM cells c JOIN cell_stats s ON s.cell_id=c.cell_id WHERE c.run IN ('click','view')""",
+       FROM cells c JOIN cell_stats s ON s.cell_id=c.cell_id""",
 )
 def _roundtrip(spark, sf):
     """With every mode kept, the way back gives the levels again."""
@@ -64,7 +63,7 @@ def _roundtrip(spark, sf):
     info = view(spark, sf, "cell_info")
     wet = view(spark, sf, "cell_stats").where(F.col("wetness") != "AD").count()
     model = reduce.fit_eof(series, info, k=wet)
-    back = reduce.to_cells(reduce.to_modes(series.where(F.col("run").isin("click", "view")), model), model)
+    back = reduce.to_cells(reduce.to_modes(series, model), model)
     return rnd(back, 5)
 
 
@@ -164,8 +163,9 @@ def rating_obs(spark, sf):
     """WITH o AS (SELECT line AS site, flow, wse FROM ref_lines WHERE flow>10),
        k AS (SELECT site, quantile_cont(flow, [0.25,0.5,0.75]) AS q, min(flow) AS a, max(flow) AS z FROM o GROUP BY site),
        j AS (SELECT o.*, k.a, k.z, k.q, CASE WHEN flow>=q[3] THEN 3 WHEN flow>=q[2] THEN 2 WHEN flow>=q[1] THEN 1 ELSE 0 END AS j FROM o JOIN k ON k.site=o.site)
-       SELECT site, j AS interval, count(*) AS n, round(sum(pow(CASE j WHEN 0 THEN pow((q[1]-flow)/(q[1]-a),3) WHEN 1 THEN pow(q[2]-flow,3)/((q[2]-q[1])*(q[2]-a)*(q[2]-a)) END,2)),6) AS g00
-       FROM j WHERE j<2 GROUP BY site, j""",
+       SELECT site, j AS interval, count(*) AS n, round(sum(pow(CASE j WHEN 0 THEN pow((q[1]-flow)/(q[1]-a),3) WHEN 1 THEN pow(q[2]-flow,3)/((q[2]-q[1])*(q[2]-a)*(q[2]-a))
+         WHEN 2 THEN pow(q[3]-flow,3)/((q[3]-q[2])*(q[3]-q[1])*(q[3]-a)) ELSE pow(z-flow,3)/((z-q[3])*(z-q[2])*(z-q[1])) END,2)),6) AS g00
+       FROM j GROUP BY site, j""",
 )
 def _rating_gram(spark, sf):
     from freshet.operators.filters import rating_filter
@@ -173,7 +173,7 @@ def _rating_gram(spark, sf):
     obs = rating_filter(rating_obs(spark, sf)).select("site", "flow", "wse")
     knots = surfaces.site_knots(obs, ["site"], 3)
     sums = surfaces.rating_gram(obs.join(knots, "site"), ["site"])
-    return rnd(sums.where(F.col("_j") < 2).select("site", F.col("_j").alias("interval"), "n", "g00"))
+    return rnd(sums.select("site", F.col("_j").alias("interval"), "n", "g00"))
 
 
 @query("fit_rating")

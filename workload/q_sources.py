@@ -192,17 +192,23 @@ def _catalogue(spark, sf):
 
 @query(
     "plans_to_catalogue",
-    """SELECT row_number() OVER (ORDER BY event_id)-1 AS pos, concat('s3://store/', event_id, '/hydrology/SST.dss') AS href, type AS role, event_id,
-       round_even(precip_cum*1.0012345E0,2) AS avg_precip_in, round_even(inflow*1.0012345E0,2) AS peak_inflow_cfs FROM periods""",
+    """SELECT concat('s3://store/', event_id, '/hydrology/SST.dss') AS href, type AS role, event_id,
+       round_even(precip_cum*1.0012345E0,2) AS avg_precip_in, round_even(inflow*1.0012345E0,2) AS peak_inflow_cfs,
+       round_even(rp_precip*1.0012345E0,2) AS recurrence_interval_precip, round_even(rp_inflow*1.0012345E0,2) AS recurrence_interval_inflow,
+       count(*) FILTER (type='Train') OVER () AS n_train, count(*) FILTER (type='Test') OVER () AS n_test FROM periods""",
 )
 def _to_catalogue(spark, sf):
     p = view(spark, sf, "periods").withColumn("set", F.lit("AEP"))
-    p = p.withColumns({c: F.col(c) * 1.0012345 for c in ("precip_cum", "inflow")})
-    rows = catalogue.event_assets(p, "s3://store")
-    a = F.col("asset")
+    p = p.withColumns({c: F.col(c) * 1.0012345 for c in ("precip_cum", "inflow", "rp_precip", "rp_inflow")})
+    numbers = ("avg_precip_in", "peak_inflow_cfs", "recurrence_interval_precip", "recurrence_interval_inflow")
+    asset = f"struct<href:string,roles:array<string>,event_id:bigint,properties:struct<{','.join(f'{n}:double' for n in numbers)}>>"
+    shape = f"struct<properties:struct<train_event_count:bigint,test_event_count:bigint>,assets:map<string,{asset}>>"
+    whole = catalogue.plans_to_catalogue(p, "s3://store").select(F.from_json("catalogue", shape).alias("c"))
+    rows = whole.select(F.col("c.properties").alias("p"), F.explode("c.assets").alias("key", "a"))
+    a = F.col("a")
     return rows.select(
-        "pos", a["href"].alias("href"), F.get(a["roles"], 0).alias("role"), a["event_id"].alias("event_id"),
-        a["properties"]["avg_precip_in"].alias("avg_precip_in"), a["properties"]["peak_inflow_cfs"].alias("peak_inflow_cfs"),
+        a["href"].alias("href"), F.get(a["roles"], 0).alias("role"), F.col("key").cast("long").alias("event_id"), *[a["properties"][n].alias(n) for n in numbers],
+        F.col("p.train_event_count").alias("n_train"), F.col("p.test_event_count").alias("n_test"),
     )
 
 

@@ -117,13 +117,13 @@ SPLIT: dict[str, tuple[str, str]] = {
     ),
 }
 DERIVED: dict[str, str] = {
-    # Forcing features on dense steps: two inflows and eight rainfall pixels.
+    # Forcing features on dense steps: two inflows, the other positions are rainfall pixels.
     "forcing": """
         SELECT concat('r', CAST(t%4 AS VARCHAR(9))) AS run, CAST(floor(t/4.0) AS INT) AS t,
           CASE WHEN pos<2 THEN concat('inflow_', CAST(pos AS VARCHAR(9))) ELSE concat('precip_', CAST(pos-2 AS VARCHAR(9))) END AS feature,
           CASE WHEN pos%5=1 AND v<0 THEN 0.0E0 ELSE v END AS value
-        FROM grid WHERE pos<10""",
-    "scores": "SELECT run, t, pos AS mode, v AS z, v*v+0.01E0 AS var FROM grid WHERE pos<3",
+        FROM grid""",
+    "scores": "SELECT run, t, pos AS mode, v AS z, v*v+0.01E0 AS var FROM grid",
     # Mode scores on the steps of the cell table.
     "step_means": "SELECT run, t, avg(hf-elevation) AS a, avg(lf-elevation) AS b FROM cells GROUP BY run, t",
     "step_scores": """
