@@ -349,47 +349,90 @@ for _c, _to in _SIGNS.items():
 
 
 class Filter:
-    """Tells of many texts at once which have a word that matches: each distinct word is looked up once while it is remembered."""
+    """Finds the words of many texts that match, on their bytes: each distinct word is looked up once while it is remembered."""
 
     def __init__(self):
         self.known: dict[int, bool] = {}
-
-    def texts(self, column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-        """Whether each text has a word that matches, or single letters in a row that may be one."""
-        out = np.zeros(len(column), dtype=bool)
-        for lo, _, data, at in blocks(column):
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _new(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, lexicon: Lexicon) -> list[bool]:
+        """Whether words that were not seen before match."""
+        if self.tables is None:
+            raw = [w.encode() for w in sorted(lexicon.words)]
+            data = np.frombuffer(b"".join(raw) + b" ", dtype=np.uint8)
+            ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+            own = span_hashes(data, ends - np.array([len(w) for w in raw], dtype=np.int64), ends) if raw else np.zeros(0, np.uint64)
+            heads = np.frombuffer(b"".join(s.encode()[:4] for s in sorted(lexicon.stems)), dtype=">u4")
+            self.tables = own, np.unique(heads.astype(np.int64))
+        near = lexicon.maybe_near(low, begin, end)
+        four = np.append(low, np.zeros(4, np.uint8)).astype(np.int64)
+        head = four[begin] << 24 | four[begin + 1] << 16 | four[begin + 2] << 8 | four[begin + 3]
+        odd = np.cumsum(np.concatenate(([0], _ODD_BYTES[low])))
+        same = np.concatenate(([False], (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]), [False]))[: len(low)]
+        same = np.cumsum(np.concatenate(([0], same)))
+        # Words that are no entry, start like no stem, have no sign and no letter three times go on only if an entry is near.
+        ask = np.isin(hashes, self.tables[0]) | np.isin(head, self.tables[1]) | (odd[end] > odd[begin]) | (same[end] > same[begin])
+        raw = low.tobytes()
+        return [(n != 0 or e) and lexicon.match(raw[a:b].decode("utf-8", "replace"), n) is not None for a, b, n, e in zip(begin.tolist(), end.tolist(), near, ask.tolist(), strict=True)]
+
+    def blocks(self, column: pa.Array, lexicon: Lexicon):
+        """(first row, rows, lowered bytes, word starts, word ends, hits, rows to read in full) of runs of texts."""
+        for lo, hi, data, at in blocks(column):
             low = _lowered(data)
             starts, ends = _tokens(low, at)
+            full = np.zeros(hi - lo, dtype=bool)
             if not len(starts):
                 continue
             words, first, which = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
             hashes = words.tolist()
             hit = [self.known.get(h) for h in hashes]
-            raw = low.tobytes()
             new = [k for k, h in enumerate(hit) if h is None]
-            begin, end = starts[first[new]], ends[first[new]]
-            near = lexicon.maybe_near(low, begin, end)
-            for k, a, b, n in zip(new, begin.tolist(), end.tolist(), near, strict=True):
-                hit[k] = self.known[hashes[k]] = lexicon.match(raw[a:b].decode("utf-8", "replace"), n) is not None
+            if new:
+                for k, h in zip(new, self._new(low, starts[first[new]], ends[first[new]], words[new], lexicon), strict=True):
+                    hit[k] = self.known[hashes[k]] = h
             if len(self.known) >= 500_000:
                 self.known.clear()
-            own = starts[np.array(hit, dtype=bool)[which]]
-            out[lo + np.searchsorted(at, own, side="right") - 1] = True
-            # Five words of one letter in a row, each right behind the other.
+            row = np.searchsorted(at, starts, side="right") - 1
+            hits = np.array(hit, dtype=bool)[which]
+            # Five words of one letter in a row, each right behind the other, may be one.
             lead = np.cumsum(np.concatenate(([0], (low & 0xC0) != 0x80)))
             single = lead[ends] - lead[starts] == 1
-            if single.any():
-                row = np.searchsorted(at, starts, side="right")
-                step = np.concatenate(([False], single[1:] & single[:-1] & (lead[starts[1:]] - lead[ends[:-1]] == 1) & (row[1:] == row[:-1])))
-                run = step.copy()
-                for _ in range(3):
-                    run = step & np.concatenate(([False], run[:-1]))
-                own = starts[run]
-                if len(own):
-                    out[lo + np.searchsorted(at, own, side="right") - 1] = True
+            step = np.concatenate(([False], single[1:] & single[:-1] & (lead[starts[1:]] - lead[ends[:-1]] == 1) & (row[1:] == row[:-1])))
+            run = step.copy()
+            for _ in range(3):
+                run = step & np.concatenate(([False], run[:-1]))
+            full[row[run]] = True
+            # Context counts only where there are matches.
+            some = np.zeros(hi - lo, dtype=bool)
+            some[row[hits]] = True
+            if some.any():
+                marks = np.flatnonzero((low == 0x22) | ((low == 0xE2) & (np.append(low[1:], 0) == 0x80)) | ((low == 0xC2) & np.isin(np.append(low[1:], 0), (0xAB, 0xBB))))
+                full[np.searchsorted(at, marks, side="right") - 1] = True
+                full[row[np.isin(words, _reporting_hashes())[which]]] = True
+                full &= some | np.isin(np.arange(hi - lo), row[run])
+            yield lo, at, low, starts, ends, row, hits, full
+
+    def texts(self, column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+        """Whether each text has a word that matches, or single letters in a row that may be one."""
+        out = np.zeros(len(column), dtype=bool)
+        for lo, _, _, _, _, row, hits, full in self.blocks(column, lexicon):
+            out[lo + row[hits]] = True
+            out[lo + np.flatnonzero(full)] = True
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _reporting_hashes() -> np.ndarray:
+    raw = [w.encode() for w in sorted(_REPORTING)]
+    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+    return span_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - np.array([len(w) for w in raw], dtype=np.int64), ends)
+
+
+# Bytes of signs and digits that may stand for letters.
+_ODD_BYTES = np.zeros(256, dtype=np.int64)
+_ODD_BYTES[[*_SIGNS, *range(48, 58), 42]] = 1
+
+
 def _spans_or(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bits of all bytes of each span; spans are not empty and in any order."""
     order = np.argsort(starts)
@@ -567,11 +610,27 @@ def _features(found: list[Match]) -> list[float]:
 
 
 def all_features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Features of every text of a column; only texts with a match are looked at in full."""
+    """Features of every text of a column.
+
+    Texts with quotation marks, words of reporting or single letters in a row
+    beside their matches are read in full; of others the matching words are enough.
+    """
     out = np.zeros((len(column), len(FEATURES)))
     out[:, 0] = 1.0
-    for i in np.flatnonzero(lexicon.filter.texts(column, lexicon)).tolist():
-        out[i] = features(column[i].as_py(), lexicon)
+    for lo, at, low, starts, ends, row, hits, full in lexicon.filter.blocks(column, lexicon):
+        for i in np.flatnonzero(full).tolist():
+            out[lo + i] = features(column[lo + i].as_py(), lexicon)
+        some = np.flatnonzero(hits & ~full[row])
+        if not len(some):
+            continue
+        raw, first = low.tobytes(), np.searchsorted(starts, at)
+        found: dict[int, list[Match]] = {}
+        for k, a, b, i, n in zip(some.tolist(), starts[some].tolist(), ends[some].tolist(), row[some].tolist(), first[row[some]].tolist(), strict=True):
+            w = raw[a:b].decode()
+            entry, weight, distance = lexicon.match(w)
+            found.setdefault(i, []).append(Match(a, b, entry, distance, False, weight, w, k - n))
+        for i, own in found.items():
+            out[lo + i] = _features(own)
     return out
 
 

@@ -109,6 +109,16 @@ def test_signs_and_context():
         assert not tox.matches(text, lexicon)[-1].quoted, text
 
 
+def test_bytes_and_whole_texts_give_the_same_features():
+    rng = random.Random(9)
+    words = {"moron": 5.0, "stupid": 5.5, "worthless": 4.5, "éclair": 3.0, "bad": 2.0}
+    parts = ["moron", "mroon", "St0pid", "stupiiid", "worthles", "s t u p i d", "vequé", "fine", "words", "éclair", "bad", "“moron”", '"', "said", "\n", "m*ron", "€", "…", "中文", "a"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1500)] + [None, "", "stupid " * 3000]
+    got = tox.all_features(tox.pa.array(texts), tox.Lexicon(words, {"vequ": 4.0}))
+    for t, g in zip(texts, got.tolist(), strict=True):
+        assert g == tox.features(t or "", tox.Lexicon(words, {"vequ": 4.0})), t
+
+
 def test_longer_text_hides_nothing():
     lexicon = tox.Lexicon({"moron": 5.0, "stupid": 5.0}, {})
     short = tox.features("you stupid moron", lexicon)
