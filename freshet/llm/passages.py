@@ -1,8 +1,10 @@
 """Removal of repeated passages by sliding sentence spans.
 
-Every text is cut into sentences. Each run of at least ``RUN_SENTENCES``
-sentences and ``RUN_WORDS`` words that has no shorter such run at its start or
-at its end gets a hash. Over all texts the first occurrence of each hash (by
+Every text is cut into sentences, very long ones at words that their own
+letters choose, so that shared parts are cut alike. Each run of at least
+``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words, or of fewer sentences and
+``ALONE_WORDS`` words, that has no shorter such run at its start or at its end
+gets a hash. Over all texts the first occurrence of each hash (by
 id, then place) stays; sentences that any later occurrence covers are removed.
 
 Runs are reduced to counts before they move, so a passage that a third of all
@@ -21,6 +23,9 @@ from freshet.session import cut_lineage
 
 RUN_SENTENCES = 3
 RUN_WORDS = 12
+ALONE_WORDS = 40
+LONG_SENTENCE = 64  # words from which a sentence is cut
+CUT_EVERY = 31  # words between such cuts, about
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:;"]] = True
 _BASE, _INVERSE = 0x8D12A9F0B3C4E567 | 1, pow(0x8D12A9F0B3C4E567 | 1, -1, 1 << 64)
@@ -32,6 +37,8 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     A sentence begins with a text, after a word that ends in one of ``.!?:;``,
     after a line break, and at a word with a leading capital (A-Z or a Latin-1
     one) that follows another word: passages are often set into running text.
+    Sentences of more than ``LONG_SENTENCE`` words also begin anew at words
+    whose lower-cased bytes add up to 7 more than a multiple of ``CUT_EVERY``.
     """
     starts, ends, first_word = words(data, at)
     n = len(starts)
@@ -43,6 +50,11 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         fresh[1:] = _ENDS[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
         fresh |= ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
         fresh[first_word[:-1][first_word[:-1] < first_word[1:]]] = True
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, n))
+        if (size > LONG_SENTENCE).any():
+            upto = np.concatenate(([0], np.cumsum(_LOWER[data].astype(np.int64))))
+            fresh |= np.repeat(size > LONG_SENTENCE, size) & ((upto[ends] - upto[starts]) % CUT_EVERY == 7)
     first = np.flatnonzero(fresh)
     return starts, ends, first, np.searchsorted(first, first_word)
 
@@ -60,11 +72,16 @@ def runs(data: np.ndarray, at: np.ndarray, least: tuple[int, int]) -> tuple[np.n
     text = np.repeat(np.arange(len(at) - 1), np.diff(of_text))
     low, high = of_text[:-1][text], of_text[1:][text]
     s = np.arange(len(first))
-    forward = np.maximum(s + least[0], np.searchsorted(edge, edge[:-1] + least[1], side="left"))
-    back = np.minimum(s + 1 - least[0], np.searchsorted(edge, edge[1:] - least[1], side="right") - 1)
-    a = forward <= high
-    b = back >= low
-    key = np.unique(np.concatenate((s[a] << 32 | forward[a], back[b] << 32 | (s[b] + 1))))
+    keys = []
+    for sentences_, words_, most in ((*least, None), (1, ALONE_WORDS, least[0])):
+        forward = np.maximum(s + sentences_, np.searchsorted(edge, edge[:-1] + words_, side="left"))
+        back = np.minimum(s + 1 - sentences_, np.searchsorted(edge, edge[1:] - words_, side="right") - 1)
+        a, b = forward <= high, back >= low
+        if most is not None:
+            # Longer ones are runs of the first kind already.
+            a, b = a & (forward - s < most), b & (s + 1 - back < most)
+        keys += [s[a] << 32 | forward[a], back[b] << 32 | (s[b] + 1)]
+    key = np.unique(np.concatenate(keys))
     x, y = key >> 32, key & 0xFFFFFFFF
     value = (total[edge[y]] - total[edge[x]]) * _power(_INVERSE, len(h) + 1, "runs down")[edge[x]]
     return text[x], x - low[x], y - low[x], mix(value + (edge[y] - edge[x]).astype(np.uint64))

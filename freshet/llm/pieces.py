@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freshet.llm import assets
 from freshet.llm.kernel import blocks, mix
 
 BLOCK = 1 << 19
@@ -354,8 +355,10 @@ def encode(docs: DataFrame, model: str, *, rate: float = 0.1, seed: int = 1, tex
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(f"`{row_id}`").cast("string")).alias("_key"))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
+    name = assets.send(docs.sparkSession, model)
+
     def run(batches):
-        v = vocabulary(model)
+        v = vocabulary(assets.place(name))
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(text))
             keys = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
@@ -377,8 +380,10 @@ def decode(encoded: DataFrame, model: str, *, pieces: str = "pieces", out: str =
     rows = encoded.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField(out, T.StringType())])
 
+    name = assets.send(encoded.sparkSession, model)
+
     def run(batches):
-        v = vocabulary(model)
+        v = vocabulary(assets.place(name))
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(pieces))
             ids, sizes = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()

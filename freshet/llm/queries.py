@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import chat, convtrie, jaccard, merkle, mix, packing, passages, pieces, pii, topk, toxicity, warc, winnow
+from freshet.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,10 +18,15 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def keep(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            # Executors need not have the package installed.
+            return fn(ship(spark), sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
 
     return keep
 
