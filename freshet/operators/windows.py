@@ -21,13 +21,21 @@ def step_change(df: DataFrame, keys: Sequence[str] = ("run", "series"), width: i
     ``t`` is the dense step index of the run. A series that never changes has
     change 0 throughout.
     """
-    ahead = scan.look_ahead(df, keys, "t", ["value"], 1, width, keep_chunk=True)
-    deltas = ahead.select(*keys, "t", "_chunk", F.abs(F.col("value_1") - F.col("value")).alias("_delta"))
-    # A chunk's total is taken where its rows are; totals of the chunks of a series meet as one row each.
-    here = Window.partitionBy(*keys, "_chunk")
-    deltas = deltas.withColumns({"_part": F.sum("_delta").over(here), "_first": F.col("t") == F.min("t").over(here)})
-    parts = deltas.where("_first").groupBy(*keys).agg(F.sum("_part").alias("_total"))
-    summed = deltas.where(F.col("_delta").isNotNull()).join(parts, list(keys))
+    longest = df.agg(F.max("t")).first()[0]
+    if longest is not None and longest < width:
+        # Every series is one chunk, so its total is taken in the same window partition and one shuffle is enough.
+        order = Window.partitionBy(*keys).orderBy(F.col("t").cast("long")).rangeBetween(1, 1)
+        deltas = df.select(*keys, "t", F.abs(F.first("value").over(order) - F.col("value")).alias("_delta"))
+        summed = deltas.withColumn("_total", F.sum("_delta").over(Window.partitionBy(*keys)))
+        summed = summed.where(F.col("_delta").isNotNull())
+    else:
+        ahead = scan.look_ahead(df, keys, "t", ["value"], 1, width, keep_chunk=True)
+        deltas = ahead.select(*keys, "t", "_chunk", F.abs(F.col("value_1") - F.col("value")).alias("_delta"))
+        # A chunk's total is taken where its rows are; totals of the chunks of a series meet as one row each.
+        here = Window.partitionBy(*keys, "_chunk")
+        deltas = deltas.withColumns({"_part": F.sum("_delta").over(here), "_first": F.col("t") == F.min("t").over(here)})
+        parts = deltas.where("_first").groupBy(*keys).agg(F.sum("_part").alias("_total"))
+        summed = deltas.where(F.col("_delta").isNotNull()).join(parts, list(keys))
     share = F.when(F.col("_total") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_delta"), F.col("_total")))
     return summed.select(*keys, "t", share.alias("change"))
 
