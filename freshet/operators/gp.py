@@ -474,14 +474,12 @@ def search_gradient(
     rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0, stages: Sequence[str] = ("z", "logs"), rule: str = "adam", rate: float = 0.001
 ) -> dict[int, Choice]:
     """Gradient steps from unit variance and noise: each stage moves the inducing points (z), the parameters (logs) or both."""
-    n_modes = len(rows.select("y").first()["y"])
-    points = {m: Point(np.array([0.0, math.log(max(initial, 1e-6)), 0.0]), z.copy()) for m in range(n_modes)}
+    points = _start(rows, z, initial)
     found: dict[int, tuple[float, Point]] = {}
     for stage in stages:
         found = _climb(rows, kernel, points, max_iter, stage != "logs", stage != "z", rule, rate)
         points = {m: p for m, (_, p) in found.items()}
-    ten = math.log(10)
-    return {m: Choice(m, p.logs[0] / ten, p.logs[1] / ten, p.logs[2] / ten, loss, p.z) for m, (loss, p) in found.items()}
+    return _chosen(found)
 
 
 def search_adam(rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0, rate: float = 0.001) -> dict[int, Choice]:
@@ -494,8 +492,148 @@ def search_adadelta(rows, kernel, z, initial: float, max_iter: int = 100, seed:
     return search_gradient(rows, kernel, z, initial, max_iter, seed, ("both",), "adadelta", rate)
 
 
-def search_random(rows, kernel, z, initial: float, n_starts: int = 40, tune: bool = True, seed: int = 1) -> dict[int, Choice]:
-    """Random starts over hyper-parameters and inducing points, all in one pass; the lowest loss wins."""
+HISTORY = 10  # pairs of steps and slopes that shape a quasi-Newton direction
+TRIALS = (1.0, 0.25, 0.0625, 4.0)  # step lengths that are tried in one pass
+
+
+def trial_losses(rows: DataFrame, kernel: str, trials: dict[int, tuple[int, Point]]) -> dict[int, Slopes]:
+    """Loss and row-free derivatives of many (mode, point) trials, in one pass; infinite where the kernel matrix breaks down."""
+    candidates = [Candidate(slot, math.exp(p.logs[1]), p.z, (m,)) for slot, (m, p) in sorted(trials.items())]
+    width = len(candidates[0].z) + len(rows.select("y").first()["y"])
+    out = {}
+    for slot, sums in gram.fetch(gram_pass(rows, kernel, candidates), width).items():
+        m, p = trials[slot]
+        k = len(p.z)
+        try:
+            found = _slopes(kernel, p, Sums(sums[:-1, :k], sums[:-1, k + m], float(sums[-1, k + m]), int(round(sums[-1, 0]))))
+        except np.linalg.LinAlgError:
+            found = None
+        good = found is not None and math.isfinite(found.loss) and np.isfinite(found.logs).all() and np.isfinite(found.z).all()
+        out[slot] = found if good else Slopes(math.inf, np.zeros(3), np.zeros_like(p.z), np.zeros((k, k)), np.zeros(k))
+    return out
+
+
+@dataclass
+class Descent:
+    """State of one mode: free variables, loss, slope, and the last steps with the changes of slope they made."""
+
+    x: np.ndarray
+    loss: float
+    slope: np.ndarray
+    steps: list[np.ndarray]
+    changes: list[np.ndarray]
+    reach: float = 1.0
+    failed: int = 0
+
+    def direction(self) -> np.ndarray:
+        """Quasi-Newton direction by the two loops over the remembered steps."""
+        q, weights = self.slope.copy(), []
+        for s, y in zip(reversed(self.steps), reversed(self.changes), strict=True):
+            a = (s @ q) / (y @ s)
+            weights.append(a)
+            q -= a * y
+        if self.steps:
+            q *= (self.steps[-1] @ self.changes[-1]) / (self.changes[-1] @ self.changes[-1])
+        for s, y, a in zip(self.steps, self.changes, reversed(weights), strict=True):
+            q += (a - (y @ q) / (y @ s)) * s
+        return -q
+
+
+def _bfgs(
+    rows, kernel, points: dict[int, Point], max_iter: int, move_z: bool, move_logs: bool, gain: float = 2e-9, flat: float = 1e-5
+) -> dict[int, tuple[float, Point]]:
+    """Limited-memory BFGS for all modes at once: a pass for all trial steps of all modes, and one for the slopes at those taken.
+
+    A mode ends when a step gains less than ``gain`` of its loss, when its
+    slope is flat, or when no step down is found twice in a row.
+    """
+    shape = next(iter(points.values())).z.shape
+
+    def at(x: np.ndarray) -> Point:
+        return Point(x[:3], x[3:].reshape(shape))
+
+    def slopes_of(chosen: dict[int, tuple[np.ndarray, Slopes]]) -> dict[int, np.ndarray]:
+        """Whole slopes at points whose Gram sums are known; fixed variables have none."""
+        added = row_slopes(rows, kernel, {m: at(x) for m, (x, _) in chosen.items()}, {m: s for m, (_, s) in chosen.items()})
+        out = {}
+        for m, (_, s) in chosen.items():
+            logs = s.logs + np.array([0.0, added[m][-1, 0], 0.0])
+            out[m] = np.concatenate((logs * move_logs, ((s.z + added[m][:-1]) * move_z).ravel()))
+        return out
+
+    begin = {m: np.concatenate((p.logs, p.z.ravel())) for m, p in points.items()}
+    first = trial_losses(rows, kernel, {m: (m, at(x)) for m, x in begin.items()})
+    slope = slopes_of({m: (x, first[m]) for m, x in begin.items()})
+    state = {m: Descent(x, first[m].loss, slope[m], [], []) for m, x in begin.items()}
+    live = {m for m, d in state.items() if math.isfinite(d.loss) and np.abs(d.slope).max() > flat}
+    for _ in range(max_iter):
+        if not live:
+            break
+        trials, ways = {}, {}
+        for m in sorted(live):
+            d = state[m]
+            way = d.direction()
+            if way @ d.slope >= 0:
+                d.steps, d.changes, way = [], [], -d.slope
+            if not d.steps:
+                way = way / max(1.0, np.abs(d.slope).sum())
+            ways[m] = way
+            for j, t in enumerate(TRIALS):
+                trials[m * len(TRIALS) + j] = (m, at(d.x + d.reach * t * way))
+        found = trial_losses(rows, kernel, trials)
+        taken: dict[int, tuple[np.ndarray, Slopes]] = {}
+        for m in sorted(live):
+            d, way = state[m], ways[m]
+            fall = way @ d.slope
+            good = [(found[m * len(TRIALS) + j].loss, j) for j, t in enumerate(TRIALS) if found[m * len(TRIALS) + j].loss <= d.loss + 1e-4 * d.reach * t * fall]
+            if good:
+                _, j = min(good)
+                taken[m] = (d.x + d.reach * TRIALS[j] * way, found[m * len(TRIALS) + j])
+                continue
+            d.steps, d.changes, d.reach, d.failed = [], [], d.reach / 64, d.failed + 1
+            if d.failed > 2:
+                live.discard(m)
+        if not taken:
+            continue
+        for m, new in slopes_of(taken).items():
+            d, (x, s) = state[m], taken[m]
+            step, change = x - d.x, new - d.slope
+            if step @ change > 1e-10 * (change @ change):
+                d.steps, d.changes = [*d.steps, step][-HISTORY:], [*d.changes, change][-HISTORY:]
+            small = d.loss - s.loss <= gain * max(abs(d.loss), abs(s.loss), 1.0)
+            d.x, d.loss, d.slope, d.reach, d.failed = x, s.loss, new, 1.0, 0
+            if small or np.abs(new).max() <= flat:
+                live.discard(m)
+    return {m: (d.loss, at(d.x)) for m, d in state.items()}
+
+
+def _chosen(found: dict[int, tuple[float, Point]]) -> dict[int, Choice]:
+    ten = math.log(10)
+    return {m: Choice(m, p.logs[0] / ten, p.logs[1] / ten, p.logs[2] / ten, loss, p.z) for m, (loss, p) in found.items()}
+
+
+def _start(rows, z, initial: float) -> dict[int, Point]:
+    """Unit variance and noise for every mode."""
+    return {m: Point(np.array([0.0, math.log(max(initial, 1e-6)), 0.0]), z.copy()) for m in range(len(rows.select("y").first()["y"]))}
+
+
+def search_lbfgs(rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0) -> dict[int, Choice]:
+    """Limited-memory BFGS on all parameters together. Parameters are logarithms, so that none needs a bound."""
+    return _chosen(_bfgs(rows, kernel, _start(rows, z, initial), max_iter, True, True))
+
+
+def search_three_stage(rows, kernel, z, initial: float, max_iter: int = 100, seed: int = 0, rate: float = 0.001) -> dict[int, Choice]:
+    """Adam on the inducing points, then BFGS on the parameters, then BFGS on both."""
+    points = {m: p for m, (_, p) in _climb(rows, kernel, _start(rows, z, initial), max_iter, True, False, "adam", rate).items()}
+    points = {m: p for m, (_, p) in _bfgs(rows, kernel, points, max_iter, False, True).items()}
+    return _chosen(_bfgs(rows, kernel, points, max_iter, True, True))
+
+
+def search_random(rows, kernel, z, initial: float, n_starts: int = 40, tune: bool = True, seed: int = 1, polish: int = 0) -> dict[int, Choice]:
+    """Random starts over hyper-parameters and inducing points, all in one pass; the lowest loss wins.
+
+    ``polish`` steps of BFGS on all parameters, inducing points too, follow from there.
+    """
     rng = np.random.default_rng(seed)
     limits = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     ends = {r["i"]: (r["lo"], r["hi"]) for r in limits.collect()}
@@ -506,7 +644,12 @@ def search_random(rows, kernel, z, initial: float, n_starts: int = 40, tune: boo
         v, ls, e = (rng.uniform(*b) for b in LOG_BOUNDS)
         candidates.append(Candidate(slot, 10**ls, rng.uniform(lo, hi, size=z.shape), None, v, e))
     # Starts are tuned within the range they are drawn from.
-    return _evaluate(rows, kernel, candidates, tune, (LOG_BOUNDS[0], LOG_BOUNDS[2]))
+    best = _evaluate(rows, kernel, candidates, tune, (LOG_BOUNDS[0], LOG_BOUNDS[2]))
+    if not polish:
+        return best
+    ten = math.log(10)
+    points = {m: Point(ten * np.array([c.log_variance, c.log_lengthscale, c.log_noise]), np.array(c.z)) for m, c in best.items()}
+    return _chosen(_bfgs(rows, kernel, points, polish, True, True))
 
 
 def search_evolution(
@@ -566,6 +709,8 @@ SEARCHES = {
     "two-stage": search_gradient,
     "adam": search_adam,
     "adadelta": search_adadelta,
+    "l-bfgs": search_lbfgs,
+    "three-stage": search_three_stage,
 }
 
 

@@ -16,14 +16,14 @@ from freshet.sources.metric_tables import NAMES
 # Settings that change the reduction itself.
 REDUCTION_SETTINGS = {"spatial_mode_count", "precip_spatial_mode_count", "hydraulic_parameter", "wet_threshold_depth"}
 
-# The preset sweeps. The gradient optimisers have no counterpart here.
+# The preset sweeps, with the searches under their names here.
 PRESETS: dict[str, dict[str, list[Any]]] = {
     "kernel": {"kernel": ["Matern12", "Matern32", "Matern52", "RBF", "Exponential"]},
     "spatial_mode_count": {"spatial_mode_count": [1, 3, 5, 7, 10, 15, 20, 30, 50]},
     "inducing_pt_count": {"inducing_pt_count": [1, 3, 5, 10, 20, 50, 100, 300]},
     "optimizer": {
-        "optimizer": ["profile", "random", "evolution"],
-        "optimizer_kwargs": [{}, {"n_starts": 50}, {"popsize": 5, "max_iter": 100}],
+        "optimizer": ["profile", "random", "evolution", "two-stage", "three-stage", "adam", "adadelta", "l-bfgs"],
+        "optimizer_kwargs": [{}, {"n_starts": 50}, {"popsize": 5, "max_iter": 100}, *[{"max_iter": 5_000}] * 5],
     },
 }
 

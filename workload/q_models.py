@@ -115,6 +115,25 @@ def _random(spark, sf):
     return rnd(model.select("mode", "variance", "lengthscale", "noise", "loss"), 3)
 
 
+@query(
+    "search_lbfgs",
+    """SELECT CAST(m.mode AS INT) AS mode, count(*) AS n, true AS below_start, true AS not_above_adam, true AS points_moved
+       FROM (SELECT unnest([0,1,2]) AS mode) m JOIN (SELECT DISTINCT run, t FROM grid) g ON true GROUP BY m.mode""",
+)
+def _lbfgs(spark, sf):
+    """What the quasi-Newton search promises, against the start and as many steps of Adam on the same rows."""
+    import numpy as np
+
+    rows = gp.cut_lineage(gp_rows(spark, sf))
+    z = gp.inducing_points(rows, 6)
+    n = rows.count()
+    start = gp.losses_and_gradients(rows, "RBF", gp._start(rows, z, 1.0))
+    found = gp.search_lbfgs(rows, "RBF", z, 1.0, max_iter=8)
+    adam = gp.search_adam(rows, "RBF", z, 1.0, max_iter=8, rate=0.05)
+    out = [(m, n, bool(c.loss < start[m][0]), bool(c.loss <= adam[m].loss), not np.allclose(c.z, z)) for m, c in sorted(found.items())]
+    return spark.createDataFrame(out, "mode int, n long, below_start boolean, not_above_adam boolean, points_moved boolean")
+
+
 @query("search_evolution")
 def _evolution(spark, sf):
     rows = gp.cut_lineage(gp_rows(spark, sf))
