@@ -99,7 +99,8 @@ def box_pairs(left: DataFrame, right: DataFrame, left_name: str = "l", right_nam
         rows = _binned(df, levels or [0], own_kind, far_kind)
         return rows.select(*key, *[c for c in rows.columns if c.startswith(f"{name}__")])
 
-    joined = filed(a, b_levels, "left", "right", left_name).join(filed(b, a_levels, "right", "left", right_name), key)
+    # Filed rows are many times the rows they come from, which estimates of a side's size do not see: they are never broadcast.
+    joined = filed(a, b_levels, "left", "right", left_name).join(filed(b, a_levels, "right", "left", right_name).hint("merge"), key)
 
     def p(c: str) -> Column:
         return F.col(f"{left_name}__{c}")
