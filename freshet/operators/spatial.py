@@ -520,7 +520,8 @@ def line_cells(mesh: DataFrame, line: DataFrame, key: str = "cell_id") -> DataFr
 
     shaped = with_parts(mesh).select(key, "_parts", _boxes(mesh).alias("box"), *BOX)
     filed = shaped.select(key, "_parts", "box", F.explode(span("x0", "x1")).alias("_bx"), *BOX).select(key, "_parts", "box", "_bx", F.explode(span("y0", "y1")).alias("_by"))
-    met = filed.join(bins, ["_bx", "_by"])
+    # As in ``box_pairs``, filed rows are never broadcast.
+    met = filed.join(bins.hint("merge"), ["_bx", "_by"])
     s, box = F.col("seg"), F.col("box")
     near = (F.least(s["px"], s["qx"]) <= box["x1"]) & (F.greatest(s["px"], s["qx"]) >= box["x0"]) & (F.least(s["py"], s["qy"]) <= box["y1"]) & (F.greatest(s["py"], s["qy"]) >= box["y0"])
     thread = F.array(F.array(F.struct(s["px"].alias("x"), s["py"].alias("y")), F.struct(s["qx"].alias("x"), s["qy"].alias("y")))).cast(polygons.PARTS)
