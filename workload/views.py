@@ -136,6 +136,26 @@ DERIVED: dict[str, str] = {
 # Views that Spark keeps as tables.
 STORED = ("cells",)
 
+# The same tables as Spark builds them. Steps are few and go to every task, what a cell has of its own is a
+# short map: so no task sorts a whole run, and cells times steps are made where they are written.
+STORED_TEXT: dict[str, str] = {
+    "cells": """
+        WITH e AS (SELECT event_type AS run, CAST(user_id AS INT) AS cell_id, CAST((day(ts)-1)*4+floor(hour(ts)/6.0) AS INT) AS q,
+                     avg(value) AS v, count(*) AS n FROM {events} WHERE event_type IS NOT NULL GROUP BY 1,2,3),
+             r AS (SELECT run, concat(array_sort(collect_set(q)), if(bool_or(q IS NULL), array(CAST(NULL AS INT)), array())) AS steps
+                   FROM (SELECT DISTINCT event_type AS run, CAST((day(ts)-1)*4+floor(hour(ts)/6.0) AS INT) AS q FROM {events}) s GROUP BY run),
+             c AS (SELECT run, cell_id, 100.0E0+2*(cell_id%10) AS elevation,
+                     map_from_entries(collect_list(CASE WHEN q IS NOT NULL THEN struct(q, struct(v, n)) END)) AS own FROM e GROUP BY run, cell_id),
+             x AS (SELECT /*+ BROADCAST(r) */ c.run, c.cell_id, c.elevation, c.own, posexplode(r.steps) AS (t, q) FROM c JOIN r ON r.run=c.run),
+             b AS (SELECT run, t, cell_id, elevation, own[q].v AS v, own[q].n AS n FROM x)
+        SELECT b.run, b.t, b.cell_id, b.elevation,
+          CASE WHEN b.cell_id%10>=8 THEN b.elevation-1 WHEN b.cell_id%10=0 THEN b.elevation+1+coalesce(b.v,0)/10
+               ELSE b.elevation+coalesce(b.v,0)/10 END AS hf,
+          CASE WHEN b.cell_id%10>=8 THEN b.elevation WHEN b.cell_id%10=0 THEN b.elevation+1+coalesce(b.n,0)*5.0E0+coalesce(b.v,0)/20
+               ELSE b.elevation+coalesce(b.n,0)*5.0E0+coalesce(b.v,0)/20 END AS lf
+        FROM b""",
+}
+
 
 def _all() -> list[str]:
     return [*VIEWS, *SPLIT, *DERIVED]
@@ -189,7 +209,7 @@ def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _PATHS or not table_exists(spark, _PATHS[key]):
         path = shared_folder(spark)
-        _formatted(spark, sf, _text(name, True)).write.parquet(path)
+        _formatted(spark, sf, STORED_TEXT.get(name) or _text(name, True)).write.parquet(path)
         _PATHS[key] = path
     return spark.read.parquet(_PATHS[key])
 
