@@ -54,7 +54,8 @@ def trim_at_nan(df: DataFrame) -> DataFrame:
     """Keep the steps before the first missing value of any series of the run."""
     missing = F.col("value").isNull() | F.isnan("value")
     ends = df.groupBy("run").agg(F.min(F.when(missing, F.col("t"))).alias("_end"))
-    kept = df.join(ends, "run").where(F.col("_end").isNull() | (F.col("t") < F.col("_end")))
+    # One row a run goes to every task: a shuffle by run would put all steps of a run in one, and later windows would keep them there.
+    kept = df.join(F.broadcast(ends), "run").where(F.col("_end").isNull() | (F.col("t") < F.col("_end")))
     return kept.drop("_end")
 
 
@@ -86,7 +87,8 @@ def cutoffs(hf: DataFrame, lf: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def clip(df: DataFrame, cuts: DataFrame) -> DataFrame:
     """Keep ``start <= t < stop`` and count steps from 0 again."""
-    inside = df.join(cuts, "run").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
+    # One row a run, as in ``trim_at_nan``.
+    inside = df.join(F.broadcast(cuts), "run").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
     return inside.withColumn("t", (F.col("t") - F.col("start")).cast("int")).select(*df.columns)
 
 
