@@ -219,6 +219,21 @@ def _farthest(point: Column, box: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _depth(bins: DataFrame) -> int:
+    """Levels of a tree whose leaves hold few rows each, from the rows' bins at the deepest level.
+
+    What counts is how many rows a row finds in its leaf, not the rows a bin of
+    the whole square would hold: boxes along a line need more levels. Where
+    more levels do not help, as with copies, fewer are taken.
+    """
+    up = F.pow(F.lit(float(BRANCH)), F.lit(DEEPEST) - F.col("_level"))
+    levels = bins.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(DEEPEST))))
+    sizes = levels.groupBy("_level", F.floor(F.col("_bx") / up), F.floor(F.col("_by") / up)).agg(F.count("*").cast("double").alias("n"))
+    crowd = {r["_level"]: r["c"] for r in sizes.groupBy("_level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("c")).collect()}
+    enough = max(2.0 * LEAF_ROWS, 1.05 * crowd[DEEPEST])
+    return min(level for level, c in crowd.items() if c <= enough)
+
+
 def nearest_candidates(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_id: str = "near_id") -> DataFrame:
     """Pairs ``(left_id, right_id, _low)`` among which the nearest partner of every left box is; ``_low`` is the boxes' distance.
 
@@ -238,14 +253,15 @@ def nearest_candidates(left: DataFrame, right: DataFrame, left_id: str = "cell_i
     whole = right.agg(F.count("*").alias("n"), F.min(mid_x).alias("x"), F.min(mid_y).alias("y"), F.max(mid_x).alias("x1"), F.max(mid_y).alias("y1")).first()
     if not whole["n"]:
         raise ValueError("nothing to be near to")
-    depth = min(DEEPEST, max(1, math.ceil(math.log(max(1.0, whole["n"] / LEAF_ROWS), BRANCH * BRANCH))))
     side = max(whole["x1"] - whole["x"], whole["y1"] - whole["y"]) or 1.0
-    cells = BRANCH**depth
 
-    def place(mid: Column, low: float) -> Column:
-        return F.least(F.floor((mid - low) / side * cells), F.lit(cells - 1))
+    def placed(depth: int) -> list[Column]:
+        cells = BRANCH**depth
+        at = [F.least(F.floor((mid - whole[c]) / side * cells), F.lit(cells - 1)) for mid, c in ((mid_x, "x"), (mid_y, "y"))]
+        return [at[0].alias("_bx"), at[1].alias("_by")]
 
-    filed = cut_lineage(right.select(right_id, *BOX, place(mid_x, whole["x"]).alias("_bx"), place(mid_y, whole["y"]).alias("_by")))
+    depth = _depth(right.select(*placed(DEEPEST)))
+    filed = cut_lineage(right.select(right_id, *BOX, *placed(depth)))
     nodes = filed.groupBy("_bx", "_by").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
     tree = []
     for _ in range(depth):
@@ -258,7 +274,9 @@ def nearest_candidates(left: DataFrame, right: DataFrame, left_id: str = "cell_i
 
     zero = F.lit(0).cast("long")
     rows = left.select(F.col(left_id), _boxes(left).alias("_box"), zero.alias("_bx"), zero.alias("_by"))
-    for level in reversed(tree):
+    for at, level in enumerate(reversed(tree)):
+        # The top has one node and the next level at most 64; a shuffle by node would put all rows in so many tasks.
+        level = F.broadcast(level) if at < 2 else level
         box = F.col("_box")
         middle = F.struct(((box["x0"] + box["x1"]) / 2).alias("x"), ((box["y0"] + box["y1"]) / 2).alias("y"))
         seen = rows.join(level, ["_bx", "_by"]).select(
@@ -279,28 +297,33 @@ def nearest_candidates(left: DataFrame, right: DataFrame, left_id: str = "cell_i
     return pairs.select(left_id, right_id, low.alias("_low"), "_high").where(F.col("_low") <= F.col("_high") * (1 + 1e-12)).drop("_high")
 
 
+def _ends(parts: str) -> Column:
+    """The outermost points of a shape along both axes."""
+    ring = F.get(parts, 0)
+    turned = F.transform(ring, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x")))
+    found = [F.array_min(ring), F.array_max(ring), F.array_min(turned), F.array_max(turned)]
+    return F.array(*[F.struct(p["x"].alias("x"), p["y"].alias("y")) for p in found])
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str = "cell_id", right_id: str = "near_id") -> DataFrame:
     """Closest right shape of every left shape; the lowest id wins a tie.
 
     Tables without rings are measured by their boxes. With rings on either
     side, the distance is that of the polygons, 0 where they touch or one lies
     in the other (but not in its holes); a row's candidates are first cut by
-    the least distance that one of their boxes can have at most.
+    the least distance between outermost points of its shape and of one of them.
     """
     pairs = nearest_candidates(left, right, left_id, right_id)
     best = F.min(F.struct(F.col("dist"), F.col(right_id))).alias("_m")
     if "ring" not in left.columns and "ring" not in right.columns:
         found = pairs.withColumnRenamed("_low", "dist").groupBy(left_id).agg(best)
         return found.select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.dist").alias("dist"))
-    a = with_parts(left).select(left_id, F.col("_parts").alias("_a"), _boxes(left).alias("_abox"))
-    b = with_parts(right).select(right_id, F.col("_parts").alias("_b"), _boxes(right).alias("_bbox"))
-    boxed = pairs.join(a.select(left_id, "_abox"), left_id).join(b.select(right_id, "_bbox"), right_id)
-    # A side of each box holds a point of its shape, so shapes are no farther apart than their boxes' corners can be.
-    p, q = F.col("_abox"), F.col("_bbox")
-    wide = F.greatest(p["x1"], q["x1"]) - F.least(p["x0"], q["x0"])
-    high = F.greatest(p["y1"], q["y1"]) - F.least(p["y0"], q["y0"])
-    boxed = boxed.withColumn("_most", F.sqrt(wide * wide + high * high))
-    near = boxed.groupBy(left_id).agg(F.min("_most").alias("_least"), F.collect_list(F.struct("_low", F.col(right_id).alias("id"))).alias("_c"))
+    a, b = with_parts(left).select(left_id, F.col("_parts").alias("_a")), with_parts(right).select(right_id, F.col("_parts").alias("_b"))
+    ends = pairs.join(a.select(left_id, _ends("_a").alias("_p")), left_id).join(b.select(right_id, _ends("_b").alias("_q")), right_id)
+    # Shapes are no farther apart than any two of their points.
+    apart = F.flatten(F.transform("_p", lambda p: F.transform("_q", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))))
+    ends = ends.select(left_id, right_id, "_low", F.coalesce(F.array_min(apart), F.lit(math.inf)).alias("_most"))
+    near = ends.groupBy(left_id).agg(F.min("_most").alias("_least"), F.collect_list(F.struct("_low", F.col(right_id).alias("id"))).alias("_c"))
     near = near.select(left_id, F.explode(F.filter("_c", lambda c: c["_low"] <= F.col("_least") * (1 + 1e-12))).alias("_c"))
     asked = near.select(left_id, F.col("_c.id").alias(right_id)).join(a.select(left_id, "_a"), left_id).join(b.select(right_id, "_b"), right_id)
     found = asked.select(left_id, right_id, polygons.distance(F.col("_a"), F.col("_b")).alias("dist")).groupBy(left_id).agg(best)
