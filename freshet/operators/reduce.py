@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,9 @@ from freshet.session import cut_lineage
 
 # Largest Gram matrix side that is solved on the driver (32 MB of doubles).
 MAX_SIDE = 2048
+# Up to so many modes, a mode is a column of its own.
+MANY_MODES = 64
+BLOCK_SIDE = 512
 EIGEN = "mode int, eigenvalue double"
 
 
@@ -137,6 +141,9 @@ def _dual_modes(data: DataFrame, sample: Sequence[str], n: int):
         if not k:
             return data.select("_f", F.lit(0).alias("mode"), F.lit(0.0).alias("loading")).limit(0)
         known = _vectors_for(index, scaled[:, :k], "_u")
+        if k > MANY_MODES:
+            summed = _matrix_sums(data, ["_f"], list(sample), known.withColumnRenamed("_u", "_w"))
+            return summed.select("_f", "mode", F.col("value").alias("loading"))
         sums = [F.sum(F.col("_x") * F.col("_u")[j]) for j in range(k)]
         projected = data.join(known, list(sample)).groupBy("_f").agg(F.array(*sums).alias("_v"))
         return projected.select("_f", F.posexplode("_v").alias("mode", "loading"))
@@ -352,22 +359,90 @@ def standardise(df: DataFrame, stats: DataFrame, value: str, out: str, keys: Seq
     return df.join(stats, list(keys)).withColumn(out, scaled).drop("mean", "std")
 
 
+def _matrix_sums(rows: DataFrame, keys: Sequence[str], inner: Sequence[str], weights: DataFrame) -> DataFrame:
+    """``(keys, mode, value)``: sums of ``_x * _w[mode]`` over ``inner``, for any number of modes.
+
+    ``rows`` has the keys, ``inner`` and ``_x``; ``weights`` has ``inner`` and
+    the array ``_w``. Both are dealt out as blocks of about ``BLOCK_SIDE`` keys
+    by as many inner rows, each of which is one matrix product.
+    """
+    blocks = max(1, -(-weights.count() // BLOCK_SIDE))
+    buckets = max(1, -(-rows.select(*keys).distinct().count() // BLOCK_SIDE))
+
+    def dealt(cols: Sequence[str], n: int) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+
+    left = rows.where(F.col("_x").isNotNull()).withColumns({"_block": dealt(inner, blocks), "_bucket": dealt(keys, buckets)})
+    right = weights.withColumns({"_block": dealt(inner, blocks), "_bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))})
+    kind = rows.select(*keys).schema.add("_s", T.ArrayType(T.DoubleType()))
+
+    def product(values: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
+        placed = values.merge(matrix[list(inner)].assign(_at=np.arange(len(matrix))), on=list(inner))
+        if placed.empty:
+            return pd.DataFrame({c: [] for c in [*keys, "_s"]})
+        code = placed.groupby(list(keys), sort=False).ngroup().to_numpy()
+        x = np.zeros((code.max() + 1, len(matrix)))
+        np.add.at(x, (code, placed["_at"].to_numpy()), placed["_x"].to_numpy(dtype=float))
+        out = placed[list(keys)].drop_duplicates()
+        return out.assign(_s=list(x @ np.stack(matrix["_w"].to_numpy())))
+
+    parts = left.groupBy("_block", "_bucket").cogroup(right.groupBy("_block", "_bucket")).applyInPandas(product, kind)
+    return parts.select(*keys, F.posexplode("_s").alias("mode", "value")).groupBy(*keys, "mode").agg(F.sum("value").alias("value"))
+
+
 def to_modes(series: DataFrame, model: EofModel) -> DataFrame:
     """Standardised mode scores ``(run, t, mode, z)``.
 
     Each value meets its cell's loadings once, as an array, so the rows are not
     multiplied by the number of modes before they are summed.
     """
-    wet = model.cells.where(F.col("wetness") != ALWAYS_DRY).join(_loading_arrays(model.eof), "cell_id")
-    values = _modelled(series, wet.select("cell_id", "elevation", "mean", "weight", "_l"), model.parameter)
+    wet = model.cells.where(F.col("wetness") != ALWAYS_DRY)
     x = (F.col("value") - F.col("mean")) * F.col("weight")
-    sums = values.select("run", "t", x.alias("_x"), "_l").groupBy("run", "t").agg(
-        *[F.sum(F.col("_x") * F.get("_l", j)).alias(f"_s{j}") for j in range(model.k)]
-    )
-    scores = sums.select("run", "t", F.posexplode(F.array(*[f"_s{j}" for j in range(model.k)])).alias("mode", "score"))
+    if model.k > MANY_MODES:
+        values = _modelled(series, wet.select("cell_id", "elevation", "mean", "weight"), model.parameter)
+        loadings = _loading_arrays(model.eof).withColumnRenamed("_l", "_w")
+        scores = _matrix_sums(values.select("run", "t", "cell_id", x.alias("_x")), ["run", "t"], ["cell_id"], loadings)
+        scores = scores.withColumnRenamed("value", "score")
+    else:
+        wet = wet.join(_loading_arrays(model.eof), "cell_id")
+        values = _modelled(series, wet.select("cell_id", "elevation", "mean", "weight", "_l"), model.parameter)
+        sums = values.select("run", "t", x.alias("_x"), "_l").groupBy("run", "t").agg(
+            *[F.sum(F.col("_x") * F.get("_l", j)).alias(f"_s{j}") for j in range(model.k)]
+        )
+        scores = sums.select("run", "t", F.posexplode(F.array(*[f"_s{j}" for j in range(model.k)])).alias("mode", "score"))
     return standardise(scores, model.mode_stats, "score", "z").select("run", "t", "mode", "z")
 
 
+def _matrix_cells(packed: DataFrame, cells: DataFrame, with_var: bool) -> DataFrame:
+    """``_base + _c . _z`` of every step and cell, block by block as matrix products, for any number of modes."""
+    packed, cells = cut_lineage(packed), cut_lineage(cells.withColumn("_c", F.transform("_c", lambda c: F.coalesce(c, F.lit(0.0)))))
+    blocks, buckets = (max(1, -(-df.count() // BLOCK_SIDE)) for df in (cells, packed))
+
+    def dealt(cols: Sequence[str], n: int, own: str, n_other: int, other: str) -> dict[str, Column]:
+        return {own: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))}
+
+    left = packed.withColumns(dealt(["run", "t"], buckets, "_bucket", blocks, "_block"))
+    right = cells.withColumns(dealt(["cell_id"], blocks, "_block", buckets, "_bucket"))
+    kind = packed.select("run", "t").schema.add(cells.schema["cell_id"]).add("value", T.DoubleType())
+    if with_var:
+        kind = kind.add("var", T.DoubleType())
+
+    def product(steps: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if steps.empty or some.empty:
+            return pd.DataFrame({f: [] for f in kind.names})
+        z = np.stack(steps["_z"].to_numpy())
+        c = np.zeros((len(some), z.shape[1]))
+        for i, own in enumerate(some["_c"]):
+            c[i, : len(own)] = own
+        out = {f: np.repeat(steps[f].to_numpy(), len(some)) for f in ("run", "t")} | {"cell_id": np.tile(some["cell_id"].to_numpy(), len(steps))}
+        out["value"] = (z @ c.T + some["_base"].to_numpy(dtype=float)).ravel()
+        if with_var:
+            out["var"] = (np.stack(steps["_var"].to_numpy()) @ (c * c).T).ravel()
+        return pd.DataFrame(out)
+
+    return left.groupBy("_block", "_bucket").cogroup(right.groupBy("_block", "_bucket")).applyInPandas(product, kind)
+
+
 def to_cells(modes: DataFrame, model: EofModel, block: int = 1024, salts: int = 1) -> DataFrame:
     """Cell values from mode scores, with ``var`` when the scores carry ``var``.
 
@@ -400,6 +475,8 @@ def to_cells(modes: DataFrame, model: EofModel, block: int = 1024, salts: int =
         F.when(dry, dry_value).otherwise(F.col("mean") + shift / F.col("weight")).alias("_base"),
         F.when(dry, F.array().cast("array<double>")).otherwise(coef).alias("_c"),
     )
+    if model.k > MANY_MODES:
+        return _matrix_cells(packed, cells, with_var)
     product = pair_up(packed, cells, block, salts)
     terms, spread = F.lit(0.0), F.lit(0.0)
     for j in range(model.k):
