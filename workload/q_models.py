@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators import gp, select
@@ -175,6 +176,16 @@ def split(spark, sf) -> tuple[Dataset, Dataset]:
     return part(~test), part(test)
 
 
+def on_steps(series: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of ``series`` on the steps that ``other`` has too.
+
+    The steps of both are few and go to every task, so that no pass over the series is shuffled for them.
+    """
+    keys = ["run", "t"]
+    steps = series.select(*keys).distinct().join(other.select(*keys).distinct(), keys, "left_semi")
+    return series.join(F.broadcast(gp.cut_lineage(steps)), keys, "left_semi")
+
+
 def config(**changes) -> experiment.Config:
     base = experiment.Config(
         spatial_mode_count=4, inducing_pt_count=10, optimizer_kwargs={"points": 5, "refine": 0}, depth_threshold=6.0
@@ -195,9 +206,8 @@ def _experiment_forcing(spark, sf):
     mapping = run_sql(spark, sf, "SELECT run, concat('r', CAST((row_number() OVER (ORDER BY run)-1)%4 AS STRING)) AS source FROM (SELECT DISTINCT run FROM cells) r")
     lf = view(spark, sf, "forcing").withColumnRenamed("run", "source").join(mapping, "source").drop("source")
     for part in (train, test):
-        part.lf = lf.join(part.hf.select("run").distinct(), "run", "left_semi")
-        steps = part.lf.select("run", "t").distinct()
-        part.hf = part.hf.join(steps, ["run", "t"], "left_semi")
+        part.lf = gp.cut_lineage(lf.join(part.hf.select("run").distinct(), "run", "left_semi"))
+        part.hf = on_steps(part.hf, part.lf)
     out = experiment.train_predict_score(train, test, config(lf_model_type="forcing", precip_spatial_mode_count=2))
     return rnd(out.metrics.scalar, 3)
 
