@@ -182,7 +182,8 @@ def _filed_pairs(truth: DataFrame, pred: DataFrame, t_tol: int) -> DataFrame:
 
     x = truth.select("run", "t", "cell_id", F.col("value").alias("x"))
     y = pred.select("run", "t", "cell_id", F.col("value").alias("y"), F.col("sd").alias("s"))
-    return filed(x).join(filed(y), ["run", "cell_id", "_chunk", "t"])
+    # As in ``pair``, never broadcast.
+    return filed(x).join(filed(y).hint("merge"), ["run", "cell_id", "_chunk", "t"])
 
 
 def metric_suite(
