@@ -6,7 +6,8 @@
    above the threshold without a shared one) and its size band, a power of two;
    a set near its band's end also stands in the next one.
 3. Signatures: a pair from a tile must pass a bound on its overlap from the bit
-   counts of two hashed bitmaps of four to eight bits a shingle.
+   counts of two hashed bitmaps of four to eight bits a shingle. Tiles of many
+   members bring them along, the others shorter ones.
 4. Proof: what passes is decided by intersecting the two sorted arrays.
 
 Rarity comes from counts of all shingles in 2^20 hashed cells, so any order of
@@ -38,6 +39,8 @@ THRESHOLD = (85, 100)
 CELLS = 1 << 20
 CELL_BLOCK = 1 << 14
 TILE_ROWS = 2048
+# From so many members on, the rows of a tile bring longer bitmaps, of at most so many bytes.
+CROWD_ROWS, WIDE_BYTES = 8, 512
 SMALL_IDS = 4_000_000  # ids that may be broadcast: 32 MB
 
 
@@ -126,8 +129,15 @@ def _bitmap(own: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def _wide(bitmap: bytes) -> bytes:
+    """The bitmap of a set, folded to what a row of a crowded tile may bring."""
+    if len(bitmap) <= WIDE_BYTES:
+        return bitmap
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, WIDE_BYTES)).tobytes()
+
+
 def signatures(texts: DataFrame, size: int, t: tuple[int, int], order: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, short, bits, sign) of every row; ``short`` is how much of the prefix serves the smaller set."""
+    """(doc_id, n, k1, k2, prefix, short, bits, sign, wide) of every row; ``short`` is how much of the prefix serves the smaller set."""
 
     def run(batches):
         for batch in batches:
@@ -158,11 +168,12 @@ def signatures(texts: DataFrame, size: int, t: tuple[int, int], order: np.ndarra
                         pa.array(short, pa.int32()),
                         pa.array(bits, pa.binary()),
                         pa.array(sign, pa.binary()),
+                        pa.array([_wide(b) for b in bits], pa.binary()),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "prefix", "short", "bits", "sign"],
+                    names=["doc_id", "n", "k1", "k2", "prefix", "short", "bits", "sign", "wide"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, short int, bits binary, sign binary")
+    return texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, short int, bits binary, sign binary, wide binary")
 
 
 def _words(bits: np.ndarray, length: int) -> np.ndarray:
@@ -202,8 +213,23 @@ def _bounded(pairs: DataFrame, signs: DataFrame, t: tuple[int, int]) -> DataFram
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
+def _wide_pass(wide: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """Which pairs (p, q) of rows pass the bound of their long bitmaps; rows without one pass."""
+    go = np.ones(len(p), dtype=bool)
+    size = np.array([len(w) if w is not None else 0 for w in wide], dtype=np.int64)
+    both = np.minimum(size[p], size[q]) > 0
+    for lp, lq in {*zip(size[p[both]].tolist(), size[q[both]].tolist(), strict=True)}:
+        at = np.flatnonzero(both & (size[p] == lp) & (size[q] == lq))
+        for some in np.array_split(at, -(-len(at) // 8192)):
+            a, b = (_words(np.frombuffer(b"".join(wide[r]), np.uint8).reshape(len(some), -1), min(lp, lq)) for r in (p[some], q[some]))
+            only_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+            only_b = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+            go[some] = _may_link(n[p[some]], n[q[some]], only_a, only_b, t)
+    return go
+
+
 def _block_pairs(rows: dict[str, np.ndarray], end: np.ndarray, t: tuple[int, int], best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of whole cells that pass the bound of their fixed bitmaps.
+    """Pairs (a, b) of whole cells that pass the bound of their fixed bitmaps, and of the long ones in crowded tiles.
 
     Rows stand in order of cell, size and id, and ``end`` is where a row's cell
     ends. All pairs at one distance in this order are compared at once. The
@@ -235,6 +261,9 @@ def _block_pairs(rows: dict[str, np.ndarray], end: np.ndarray, t: tuple[int, int
         only_q = np.bitwise_count(bits[q] & ~bits[p]).sum(axis=1, dtype=np.int64)
         go = _may_link(n[p], n[q], only_p, only_q, t)
         p, q, off = p[go], q[go], (only_p + only_q)[go]
+        # Fixed bitmaps of long sets are almost full and pass all pairs of a tile, which go with its square.
+        go = _wide_pass(rows["wide"], n, p, q, t)
+        p, q, off = p[go], q[go], off[go]
         if best:
             nearer = off < gap[p]
             gap[p[nearer]], partner[p[nearer]] = off[nearer], q[nearer]
@@ -255,11 +284,12 @@ def _tile_pairs(member: DataFrame, signs: DataFrame, t: tuple[int, int], best: b
     most about twice ``TILE_ROWS`` members.
     """
     size = Window.partitionBy("key", "band")
-    parts = F.ceil(F.count("*").over(size) / TILE_ROWS)
-    rows = member.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    rows = member.withColumn("members", F.count("*").over(size)).withColumn("parts", F.ceil(F.col("members") / TILE_ROWS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     rows = rows.withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
-    rows = rows.join(signs.select("doc_id", "n", (F.col("short")).alias("kept"), "sign"), "doc_id")
+    rows = rows.join(signs.select("doc_id", "n", (F.col("short")).alias("kept"), "sign", "wide"), "doc_id")
+    rows = rows.withColumn("wide", F.when(F.col("members") >= CROWD_ROWS, F.col("wide"))).drop("members")
     rows = rows.withColumn("short", F.col("pos") < F.col("kept")).drop("pos", "kept")
     tasks = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j", "n", "doc_id")
@@ -283,6 +313,7 @@ def _tile_pairs(member: DataFrame, signs: DataFrame, t: tuple[int, int], best: b
                 continue
             now = {c: _column(batch, c).to_numpy(zero_copy_only=False) for c in plain}
             now["sign"] = np.frombuffer(b"".join(x.as_py() for x in _column(batch, "sign")), np.uint8).reshape(batch.num_rows, -1)
+            now["wide"] = _column(batch, "wide").to_numpy(zero_copy_only=False)
             before = sum(len(h["key"]) for h in held)
             turn = np.any([now[c][1:] != now[c][:-1] for c in plain[:4]], axis=0)
             last = int(np.flatnonzero(turn)[-1]) + 1 if turn.any() else 0
@@ -295,7 +326,7 @@ def _tile_pairs(member: DataFrame, signs: DataFrame, t: tuple[int, int], best: b
         if held:
             yield done(sum(len(h["key"]) for h in held))
 
-    columns = [*plain[:4], "doc_id", "n", "component", "part", "home", "short", "sign"]
+    columns = [*plain[:4], "doc_id", "n", "component", "part", "home", "short", "sign", "wide"]
     return rows.select(*columns).mapInArrow(run, "a long, b long").distinct()
 
 

@@ -100,3 +100,18 @@ def test_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in QUERIES["op2_jaccard"](spark, sf).collect()), key=repr) == brute(rows)
+
+
+def test_crowded_tiles_emit_no_unlike_pairs(spark):
+    """Long texts that share one rare passage passed their short bitmaps, all pairs of them (pipeline)."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(450)) + " " + passage) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    t = (80, 100)
+    signs = jaccard.signatures(texts, 5, t, jaccard.rarity(texts, 5)).cache()
+    key = jaccard.F.lit(1).cast("long")
+    member = signs.select(key.alias("key"), jaccard.F.lit(8).cast("long").alias("band"), "doc_id", jaccard.F.lit(0).alias("pos"), jaccard.F.lit(True).alias("home"), jaccard.F.col("doc_id").alias("component"))
+    assert jaccard._tile_pairs(member, signs, t).count() == 0
+    near = [(100, rows[0][1] + " one"), (101, rows[1][1] + " two more words")]
+    assert got(spark, rows + near, size=5, threshold=t) == brute(rows + near, 5, t)
