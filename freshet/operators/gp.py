@@ -112,11 +112,18 @@ class Sums:
     n: int
 
 
-def _factors(kuu: np.ndarray, s: Sums, variance: float, noise: float):
+def _factors(kuu: np.ndarray, s: Sums, variance: float, noise: float, settle: bool = False):
+    """Factors of the bound. ``1 + inner`` has no eigenvalue below 1; ``settle`` lifts those that rounding puts there."""
     chol = np.linalg.cholesky(variance * kuu + JITTER * np.eye(len(kuu)))
     linv = np.linalg.inv(chol)
     inner = variance * variance * linv @ s.phi @ linv.T / noise
-    lb = np.linalg.cholesky(np.eye(len(kuu)) + (inner + inner.T) / 2)
+    whole = np.eye(len(kuu)) + (inner + inner.T) / 2
+    values, vectors = np.linalg.eigh(whole) if settle else (np.ones(1), None)
+    if values[0] < 1:
+        lb = np.linalg.qr((vectors * np.sqrt(np.maximum(values, 1.0))).T, mode="r").T
+        lb = lb * np.where(np.diag(lb) < 0, -1.0, 1.0)
+    else:
+        lb = np.linalg.cholesky(whole)
     c = np.linalg.solve(lb, linv @ (variance * s.b)) / noise
     return linv, inner, lb, c
 
@@ -127,11 +134,11 @@ def loss_of(kuu: np.ndarray, s: Sums, variance: float, lengthscale: float, noise
         linv, inner, lb, c = _factors(kuu, s, variance, noise)
     except np.linalg.LinAlgError:
         return math.inf
-    # What holds exactly must hold in doubles: the inducing points explain no more than there is. Where it does
-    # not, or the kernel matrix is close to singular, the bound is rounding error.
+    # What holds exactly must hold in doubles: the inducing points explain no more than there is, and no pivot of
+    # ``1 + inner`` is below 1. Where it does not, or the kernel matrix is close to singular, the bound is rounding error.
     scale = np.abs(np.diag(linv))
     explained = noise * float(np.trace(inner)) <= s.n * variance * (1 + 1e-6) and noise * float(c @ c) <= s.yy * (1 + 1e-6)
-    if not explained or (scale.min() / scale.max()) ** 2 < 1e-10:
+    if not explained or np.diag(lb).min() < 1 - 1e-6 or (scale.min() / scale.max()) ** 2 < 1e-10:
         return math.inf
     bound = (
         -0.5 * s.n * math.log(2 * math.pi)
@@ -744,6 +751,7 @@ def solve_choices(rows: DataFrame, kernel: str, chosen: dict[int, Choice]) -> Da
         for m in modes
     ]
     by_slot = {c.slot: c for c in candidates}
+    losses = {m: chosen[m].loss for m in modes}
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         cand = by_slot[int(group["slot"].iloc[0])]
@@ -751,8 +759,11 @@ def solve_choices(rows: DataFrame, kernel: str, chosen: dict[int, Choice]) -> Da
         s = Sums(phi, b[:, cand.slot], float(yy[cand.slot]), n)
         kuu = correlation(kernel, cand.z, cand.z, cand.lengthscale)
         variance, noise = 10**cand.log_variance, 10**cand.log_noise
-        linv, _, lb, c = _factors(kuu, s, variance, noise)
+        # The sums of this pass differ from those of the search in their last digits.
+        linv, _, lb, c = _factors(kuu, s, variance, noise, settle=True)
         loss = loss_of(kuu, s, variance, cand.lengthscale, noise)
+        if not math.isfinite(loss):
+            loss = losses[cand.slot]
         return pd.DataFrame(
             {
                 "mode": [cand.slot], "kernel": [kernel], "variance": [variance], "lengthscale": [cand.lengthscale],

@@ -95,3 +95,31 @@ def test_model_survives_a_round_trip(spark, data, tmp_path):
 def test_unusable_kernels_are_refused(name):
     with pytest.raises(ValueError, match="kernel"):
         kernel(name)
+
+
+def rounded_sums(lowest):
+    """Two inducing points close together, and Gram sums whose whitened matrix has the eigenvalue ``lowest``."""
+    z = np.array([[0.0], [1e-2]])
+    kuu = gp.correlation("RBF", z, z, 1.0)
+    chol = np.linalg.cholesky(kuu + gp.JITTER * np.eye(2))
+    vectors = np.linalg.eigh(kuu)[1]
+    inner = (vectors * [lowest, 1e4]) @ vectors.T
+    return z, kuu, gp.Sums(0.1 * chol @ inner @ chol.T, np.zeros(2), 50.0, 10**6)
+
+
+def test_a_bound_of_rounding_error_is_rejected():
+    _, kuu, good = rounded_sums(0.5)
+    assert np.isfinite(gp.loss_of(kuu, good, 1.0, 1.0, 0.1))
+    _, kuu, bad = rounded_sums(-0.978)
+    assert gp.loss_of(kuu, bad, 1.0, 1.0, 0.1) == np.inf
+
+
+def test_last_pass_survives_other_rounding(spark, monkeypatch):
+    z, kuu, s = rounded_sums(-1.5)
+    full = np.zeros((3, 3))
+    full[:2, :2], full[:2, 2], full[2, 0], full[2, 2] = s.phi, s.b, s.n, s.yy
+    sums = spark.createDataFrame([(0, 0, 0, bytearray(full.tobytes()))], "slot int, block int, salt int, body binary")
+    monkeypatch.setattr(gp, "gram_pass", lambda rows, kernel, candidates: sums)
+    got = gp.solve_choices(None, "RBF", {0: gp.Choice(0, 0.0, 0.0, -1.0, 12.5, z)}).collect()
+    assert [(r["mode"], r["loss"]) for r in got] == [(0, 12.5)]
+    assert np.isfinite(got[0]["c"]).all() and np.isfinite(np.frombuffer(got[0]["pinv"])).all()
