@@ -17,6 +17,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Merged shuffle partitions. Rows of steps and cells are 15 to 80 times as large in a sort as in a shuffle
+    # file, so tasks of the default 64 MB hold gigabytes; a session of few partitions would not split them either.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Lets a join on (run, cell, chunk, t) use inputs partitioned by (run, cell, chunk).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
