@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet import schema
+from freshet.functions import scan
 from freshet.schema import Dataset
 
 TABLES = ("hf", "lf", "cell_info", "ref_lines")
+# Groups of cells and steps that a run's rows are dealt out in when they are written.
+WRITE_GROUPS = 256
 FORCING = T.StructType(
     [
         T.StructField("run", T.StringType()),
@@ -49,13 +52,14 @@ def read_dataset(spark: SparkSession, path: str, forcing: bool = False) -> Datas
 def write_dataset(ds: Dataset, path: str) -> None:
     """Write the four tables, series partitioned by run.
 
-    Each run's rows are spread over several files by cell, so one long run does
-    not end up in one writer task.
+    Each run's rows are spread over many groups by cell and chunk of steps, so
+    neither a long run nor a long line ends up in one writer task. Small groups
+    share a task and its files.
     """
     for name in ("hf", "lf", "ref_lines"):
         df = getattr(ds, name)
         spread = next(c for c in ("cell_id", "feature", "line") if c in df.columns)
-        split = F.pmod(F.xxhash64(spread), F.lit(16))
+        split = F.pmod(F.xxhash64(spread, scan.chunk_of("t")), F.lit(WRITE_GROUPS))
         df.repartition("run", split).sortWithinPartitions("run", spread, "t").write.mode("overwrite").partitionBy(
             "run"
         ).parquet(f"{path}/{name}")
