@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["run", "t", "cell_id"]
+# Rows of steps times cells that one task sorts.
+DENSE_ROWS = 1_000_000
 
 
 def align(hf: DataFrame, lf: DataFrame, keys=KEYS) -> DataFrame:
@@ -122,6 +124,7 @@ def pair_up(left: DataFrame, right: DataFrame, block: int = 1024, salts: int = 1
     ``right`` is packed into blocks of about ``block`` rows. A left row is
     routed once per block, and rows multiply only after the join, inside the
     task that writes them. ``salts`` spreads one block over several tasks.
+    A single block goes to every task, and the left rows stay where they are.
     """
     blocks = max(1, -(-right.count() // block))
     packed = (
@@ -133,10 +136,21 @@ def pair_up(left: DataFrame, right: DataFrame, block: int = 1024, salts: int = 1
     routed = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
         "_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     )
-    joined = routed.join(packed, ["_block", "_salt"])
+    joined = routed.join(F.broadcast(packed) if blocks == 1 else packed, ["_block", "_salt"])
     return joined.select(*left.columns, F.inline("_rows"))
 
 
+def deal_steps(steps: DataFrame, per_step: int) -> DataFrame:
+    """Steps dealt out so that a task gets about ``DENSE_ROWS`` rows once each becomes ``per_step`` rows.
+
+    Such rows are so alike that shuffle files say nothing about the memory they
+    take in a sort, so their number decides and not their bytes.
+    """
+    spark = steps.sparkSession
+    wanted = -(-steps.count() * per_step // DENSE_ROWS)
+    return steps.repartition(max(wanted, spark.sparkContext.defaultParallelism), "run", "t")
+
+
 def first_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """First row per key in the given order, by a mergeable aggregate rather than a window."""
     rest = [c for c in df.columns if c not in by]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from freshet.functions.exprs import floor_to_ground, max_surface
 from freshet.operators.filters import rating_filter
-from freshet.operators.joins import pair_up, resample_cells
+from freshet.operators.joins import deal_steps, pair_up, resample_cells
 from freshet.operators.stats import quantile_knots
 
 DEGREE = 3
@@ -155,14 +155,16 @@ def pseudo_surface(
     """Level of every cell from two inflows: ratings, profile, spread, ground, and the forcing model's estimate.
 
     ``inflow``: ``run, t, us_flow, ds_flow``; ``ratings`` has one row per site ``us`` and ``ds``.
+    Steps are dealt out before they become cells, and the ratings go to every task.
     """
-    sites = inflow.select(
+    sites = deal_steps(inflow, cells.count()).select(
         "run", "t", F.inline(F.array(
             F.struct(F.lit(us).alias("site"), F.col("us_flow").alias("flow")),
             F.struct(F.lit(ds).alias("site"), F.col("ds_flow").alias("flow")),
         ))
     )
-    levels = apply_rating(sites, ratings).groupBy("run", "t").agg(
+    two = F.broadcast(ratings.where(F.col("site").isin(us, ds)))
+    levels = apply_rating(sites, two).groupBy("run", "t").agg(
         F.max(F.when(F.col("site") == us, F.col("fitted"))).alias("us_wse"),
         F.max(F.when(F.col("site") == ds, F.col("fitted"))).alias("ds_wse"),
     )

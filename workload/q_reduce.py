@@ -239,8 +239,8 @@ def _pseudo(spark, sf):
     )
     frac = centreline_fraction(view(spark, sf, "ref_lines"), view(spark, sf, "bank"), "us", "ds")
     cells = run_sql(spark, sf, SURFACE_MAP)
-    flows = run_sql(spark, sf, FLOWS)
-    from freshet.operators.joins import pair_up
+    from freshet.operators.joins import deal_steps, pair_up
 
+    flows = deal_steps(run_sql(spark, sf, FLOWS), cells.count())
     other = pair_up(flows.select("run", "t"), cells.select("cell_id", (F.col("elevation") + F.col("cell_id") / 10).alias("value")))
     return rnd(surfaces.pseudo_surface(flows, ratings, frac, cells.select("cell_id", "near_id"), cells, other))
