@@ -277,12 +277,7 @@ def detection_categories(pairs: DataFrame, wet_threshold: float = 0.0, include_n
 
 def overall_rmse(lf: DataFrame, hf: DataFrame, pred: DataFrame) -> DataFrame:
     """One number each for the raw and the upskilled low-fidelity values."""
-    keys = ["run", "t", "cell_id"]
-    joined = (
-        hf.select(*keys, F.col("value").alias("x"))
-        .join(lf.select(*keys, F.col("value").alias("l")), keys)
-        .join(pred.select(*keys, F.col("value").alias("y")), keys)
-    )
+    joined = pair(hf, pred, lf).withColumnRenamed("s", "l")
     lf_err, up_err = F.col("l") - F.col("x"), _error()
     return joined.agg(
         F.sqrt(F.avg(lf_err * lf_err)).alias("lf_rmse"), F.sqrt(F.avg(up_err * up_err)).alias("upskill_rmse")
