@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -116,11 +117,16 @@ def fit_surrogate(train: Dataset, reducers: Reducers, cfg: Config) -> DataFrame:
     )
 
 
-def predict_cells(lf: DataFrame, reducers: Reducers, model: DataFrame) -> DataFrame:
-    """Mean and variance on every cell ``(run, t, cell_id, value, var)``."""
+def predict_scores(lf: DataFrame, reducers: Reducers, model: DataFrame) -> DataFrame:
+    """Mean and variance of every mode ``(run, t, mode, z, var)``."""
     # Mode scores are small next to the cells they spread to, and several results start from them.
     scores = cut_lineage(gp.predict_gpr(lf_inputs(lf, reducers), model))
-    return to_cells(scores.select("run", "t", "mode", F.col("mean").alias("z"), "var"), reducers.hf)
+    return scores.select("run", "t", "mode", F.col("mean").alias("z"), "var")
+
+
+def predict_cells(lf: DataFrame, reducers: Reducers, model: DataFrame) -> DataFrame:
+    """Mean and variance on every cell ``(run, t, cell_id, value, var)``."""
+    return to_cells(predict_scores(lf, reducers, model), reducers.hf)
 
 
 def as_depth(df: DataFrame, cells: DataFrame, parameter: str, predicted: bool = False) -> DataFrame:
@@ -136,23 +142,31 @@ def as_depth(df: DataFrame, cells: DataFrame, parameter: str, predicted: bool =
 @dataclass
 class Outcome:
     metrics: MetricTables
-    prediction: DataFrame
+    scores: DataFrame
     model: DataFrame
     reducers: Reducers
 
+    @cached_property
+    def prediction(self) -> DataFrame:
+        """Mean and variance on every cell and predicted step."""
+        return to_cells(self.scores, self.reducers.hf)
+
 
 def train_predict_score(train: Dataset, test: Dataset, cfg: Config, reducers: Reducers | None = None) -> Outcome:
     """Fit on ``train``, predict ``test`` and score it per event."""
     reducers = reducers or fit_reducers(train, cfg)
     model = fit_surrogate(train, reducers, cfg)
-    predicted = predict_cells(test.lf, reducers, model)
+    scores = predict_scores(test.lf, reducers, model)
+    # Only steps with a truth are scored, and a forcing may have many more: they are left out while they are modes,
+    # as steps times cells would be dealt out for the join before it drops them.
+    known = cut_lineage(scores.join(test.hf.select("run", "t").distinct(), ["run", "t"], "left_semi"))
     p = cfg.hydraulic_parameter
     truth = as_depth(test.hf.select("run", "t", "cell_id", "value"), test.cell_info, p)
-    scored = as_depth(predicted, test.cell_info, p, predicted=True).withColumn("sd", F.sqrt("var"))
+    scored = as_depth(to_cells(known, reducers.hf), test.cell_info, p, predicted=True).withColumn("sd", F.sqrt("var"))
     tables = metric_suite(
         truth, scored, None, cfg.depth_threshold, cfg.t_tol, cfg.v_tol, p
     )
-    return Outcome(tables, predicted, model, reducers)
+    return Outcome(tables, scores, model, reducers)
 
 
 def with_options(cfg: Config, **changes: Any) -> Config:
